@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from terrane.llm import simhash
+from terrane.llm import exact, mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op2_exact_dedup": exact.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": exact.OP2_SQL,
+}
