@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: White space as the corpus contracts define it.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -65,7 +67,13 @@ atexit.register(clear)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: a text may be megabytes long, and a batch must fit a Python worker."""
+    """Arrow batches of few rows: a text may be megabytes long, and a batch must fit a Python worker.
+
+    Workers find this package where the driver has it; a cluster without that folder gets it by ``--py-files``.
+    """
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (path, ROOT)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
@@ -145,6 +153,35 @@ class Sets:
             self.parent = up
 
 
+def runs(batches, keys: int):
+    """Sorted batches → for each run of equal values in the first ``keys`` columns, its columns as arrays of Arrow.
+
+    Only the rows of one key are held beyond a batch.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows, bool)
+        for c in b.columns[:keys]:
+            v = c.to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+        first = tuple(c[0].as_py() for c in b.columns[:keys])
+        change[0] = last is not None and first != last
+        last = tuple(c[b.num_rows - 1].as_py() for c in b.columns[:keys])
+        starts = np.flatnonzero(change).tolist()
+        begin = 0
+        for s in starts:
+            if s > begin:
+                held.append(b.slice(begin, s - begin))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, begin = [], s
+        held.append(b.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def table(batches) -> pa.Table | None:
     batches = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(batches).combine_chunks() if batches else None
