@@ -1,0 +1 @@
+"""Spatial functions."""
