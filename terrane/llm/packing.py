@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,40 +27,94 @@ from terrane.llm import common
 TOKENIZER = "word_bpe_49k.json"
 
 
-@cache
-def _encoder(path: str):
-    """Text → bytes of little-endian unsigned 32-bit ids.
+class Encoder:
+    """Texts → bytes of little-endian unsigned 32-bit ids, for tokenizers that drop white space and mark word ends.
 
-    This tokenizer drops white space and never joins text across it, nor letters with what is no letter; so a text's ids are
-    those of its words, of which most come again and are remembered (``known`` is emptied when it is large).
+    Such a tokenizer never joins text across white space, nor letters with what is no letter; so a text's ids are those of its
+    words, most of which come again and are remembered.  New words of letters are encoded many at a time and told apart
+    by their last tokens, which carry the mark; anything else goes to the tokenizer on its own.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    PUNCTUATION = frozenset(".,;:!?")
+    MARK = "</w>"
+
+    def __init__(self, path: str, room: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known, self.room = Tokenizer.from_file(path), {}, room
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.MARK)]] = True
 
-    def direct(text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def direct(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(w: str) -> bytes:
-        ids = known.get(w)
-        if ids is None:
-            if len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isalpha():
-                ids = word(w[:-1]) + word(w[-1])
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words of letters."""
+        for k in range(0, len(words), 256):
+            part = words[k : k + 256]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # a letter whose lower case is more than letters
+                self.known.update((w, self.direct(w)) for w in part)
+                continue
+            raw, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts, stops.tolist()))
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words, which are all different."""
+        if len(self.known) > self.room:  # the first words that came are mostly the frequent ones
+            self.known = dict(list(self.known.items())[: self.room // 3])
+        known = self.known
+        out = list(map(known.get, words))
+        new = [w for w, v in zip(words, out) if v is None]
+        stems = {w: w[:-1] for w in new if w[-1:] in self.PUNCTUATION and w[:-1].isalpha()}
+        letters = {w for w in new if w.isalpha()}
+        letters.update(w for w in stems.values() if w not in known)
+        self.learn([w for w in letters if len(w) <= 64])
+        marks = {p: self.direct(p) for p in {w[-1] for w in stems}}
+        for k, w in enumerate(words):
+            if out[k] is None:
+                ids = known.get(w)
+                if ids is None:
+                    ids = (known.get(stems[w]) or self.direct(stems[w])) + marks[w[-1]] if w in stems else self.direct(w)
+                    if len(w) <= 64:
+                        known[w] = ids
+                out[k] = ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Arrow splits and numbers the words of all texts; each different word is looked up once, and numpy lays the ids out."""
+        direct, plain = {}, []
+        for i, text in enumerate(texts):
+            # splitting takes these four for white space, which they are not to the tokenizer
+            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+                direct[i] = self.direct(text)
+                text = ""
             else:
-                ids = direct(w)
-            if len(w) <= 64:
-                if len(known) > 400_000:
-                    known.clear()
-                known[w] = ids
-        return ids
+                try:
+                    text.encode("latin-1")
+                    text = text.lower()  # here Python's lower case is the tokenizer's, so fewer words differ
+                except UnicodeEncodeError:
+                    pass
+            plain.append(text)
+        split = pc.utf8_split_whitespace(pa.array(plain, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        each = self.ids(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy()
+        flat = np.frombuffer(b"".join(each), "<u4")
+        length = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first = np.cumsum(length) - length
+        n = length[code]
+        stop = np.cumsum(n)
+        ids = flat[np.repeat(first[code] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+        bounds = np.r_[0, stop][split.offsets.to_numpy()].tolist()
+        return [direct[i] if i in direct else ids[4 * a : 4 * b] for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
-    def encode(text: str) -> bytes:
-        # str.split() also splits at these four, which are no white space to the tokenizer
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return direct(text)
-        return b"".join(map(word, text.split()))
 
-    return encode
+@cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,12 +128,12 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048, en
     def run(batches):
         import public_tokenizers
 
-        encode = _encoder(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
+        encoder = _encoder(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         tail = int(end).to_bytes(4, "little")
         for b in batches:
             rows = [[], [], [], [], []]
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text or "") + tail
+            for i, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])):
+                ids += tail
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     for column, v in zip(rows, (i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
