@@ -108,13 +108,21 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 20, weight: Column | N
 
 
 def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
-    """The rows of the mix: each document as often as the mix takes it whole, then its first words where a border cuts it."""
-    m = mix(docs.drop("size", "source_size", "target", "taken"), max_epochs, seed, weight)
+    """The rows of the mix: each document as often as the mix takes it whole, then its first words where a border cuts it.
+
+    All columns come back as they were, whatever their names; only a cut document's text is shorter.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("_rest")] if others else []
+    rows = docs.select("doc_id", "text", "source", *rest, *([] if weight is None else [weight.alias("_weight")]))
+    m = mix(rows, max_epochs, seed, None if weight is None else F.col("_weight"))
     whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    copies = F.when(F.col("size") > 0, F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))).otherwise(F.array().cast("array<bigint>"))
-    m = m.withColumn("_part", F.explode(copies))
+    none = F.array().cast("array<bigint>")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(none))
+    m = m.withColumn("_part", F.explode(F.when(F.col("size") > 0, copies).otherwise(none)))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0)), 1, F.col("_part").cast("int")), " ")
-    return m.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(head)).select(docs.columns)
+    text = F.when(F.col("_part") < 0, F.col("text")).otherwise(head)
+    return m.select(*((text if c == "text" else F.col(f"_rest.`{c}`") if c in others else F.col(c)).alias(c) for c in docs.columns))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
