@@ -96,8 +96,13 @@ class Bridge:
         made = self.static(kernel, out, ready)
         return self.static("write", "w", [made]) if out == "g" else made
 
-    def column(self, kernel: str, kinds: str, out: str, args: list[Column]) -> Column:
-        return Column(self.utils.column(self.call(kernel, kinds, out, [self.utils.expression(c._jc) for c in args])))
+    def column(self, kernel: str, kinds: str, out: str, args: list[Column], name: str | None = None) -> Column:
+        """The call as a column, which remembers its expression for calls around it."""
+        expression = self.call(kernel, kinds, out, [c.__dict__.get("_terrane") or self.utils.expression(c._jc) for c in args])
+        column = Column(self.utils.column(expression))
+        column = column.alias(name) if name else column
+        column.__dict__["_terrane"] = expression
+        return column
 
 
 def bridge(spark: SparkSession | None = None) -> Bridge:

@@ -55,17 +55,17 @@ def _column(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def kernel(name: str, *args) -> Column:
+def kernel(name: str, *args, alias: str | None = None) -> Column:
     """Column of a kernel; plain values become literals (column names are not looked up: pass columns)."""
     kinds, out = SIGNATURES.get(name) or _INTERNAL[name]
     if len(args) != len(kinds):
         raise TypeError(f"{name} takes {len(kinds)} arguments, not {len(args)}")
-    return bridge().column(name, kinds, out, [_column(a) for a in args])
+    return bridge().column(name, kinds, out, [_column(a) for a in args], alias)
 
 
 def _function(name: str):
     def call(*args) -> Column:
-        return kernel(name, *args).alias(name)
+        return kernel(name, *args, alias=name)
 
     call.__name__ = call.__qualname__ = name
     call.__doc__ = f"{name}({', '.join(SIGNATURES[name][0])}) over columns or plain values."
@@ -122,32 +122,32 @@ def constants(one: DataFrame) -> list[Column]:
 
 def st_collect_agg(geometry) -> Column:
     """GEOMETRYCOLLECTION of a group, not dissolved; nulls are skipped, an empty group gives an empty collection."""
-    return kernel("collect_array", F.collect_list(geometry)).alias("st_collect_agg")
+    return kernel("collect_array", F.collect_list(geometry), alias="st_collect_agg")
 
 
 def st_union_agg(geometry) -> Column:
     """Dissolved union of a group; invalid polygons raise an error."""
-    return kernel("union_array", F.collect_list(geometry)).alias("st_union_agg")
+    return kernel("union_array", F.collect_list(geometry), alias="st_union_agg")
 
 
 def st_convexhull_agg(geometry) -> Column:
     """Convex hull of a group.  Copies of a geometry are collected once."""
-    return kernel("convexhull_array", F.collect_set(geometry)).alias("st_convexhull_agg")
+    return kernel("convexhull_array", F.collect_set(geometry), alias="st_convexhull_agg")
 
 
 def st_extent_agg(geometry) -> Column:
     """Bounding box of a group: four minima and maxima, combined before the shuffle."""
     e = bounds(geometry)
-    return box(F.min(e["xmin"]), F.min(e["ymin"]), F.max(e["xmax"]), F.max(e["ymax"])).alias("st_extent_agg")
+    return kernel("st_makebox", F.min(e["xmin"]), F.min(e["ymin"]), F.max(e["xmax"]), F.max(e["ymax"]), alias="st_extent_agg")
 
 
 def st_makeline_agg(geometry, order=None) -> Column:
     """LINESTRING of all vertices of a group in the order of ``order`` (without it, in the order of arrival, which Spark
     fixes only within one partition)."""
     if order is None:
-        return kernel("makeline_array", F.collect_list(geometry)).alias("st_makeline_agg")
+        return kernel("makeline_array", F.collect_list(geometry), alias="st_makeline_agg")
     sorted_ = F.array_sort(F.collect_list(F.struct(_column(order).alias("o"), _column(geometry).alias("g"))))
-    return kernel("makeline_array", F.transform(sorted_, lambda s: s["g"])).alias("st_makeline_agg")
+    return kernel("makeline_array", F.transform(sorted_, lambda s: s["g"]), alias="st_makeline_agg")
 
 
 AGGREGATES = {"st_collect_agg": "collect_array", "st_union_agg": "union_array", "st_convexhull_agg": "convexhull_array", "st_makeline_agg": "makeline_array"}
@@ -195,7 +195,7 @@ def register(spark: SparkSession) -> list[str]:
     aggregate = jvm.org.apache.spark.sql.catalyst.expressions.aggregate
 
     def collected(args, kernel):
-        return b.call(kernel, "a", "g", [aggregate.CollectList(args[0], 0, 0, True).toAggregateExpression()])
+        return b.call(kernel, "a", "g", [aggregate.CollectList(args[0]).toAggregateExpression()])
 
     for name, kernel_name in AGGREGATES.items():
         put(name, lambda args, kernel_name=kernel_name: collected(args, kernel_name), 1)
