@@ -3,7 +3,8 @@
 Every geometry has a level: the smallest cell size (a power of four) not under the longer side of its box.  At its own level or
 a coarser one it touches at most four cells.  A pair meets at the coarser of its two levels, in the cell of the lower left
 corner of the boxes' intersection, hence once; so there are no duplicates to remove, no cell size to tune, and no giant that
-covers thousands of cells.  The join is an ordinary equi-join: Spark shuffles it, broadcasts a side whose size it knows to be
+covers thousands of cells.  The key also says which of the two is at home on the level, so that small geometries never meet
+each other in the large cells where they look for giants.  The join is an ordinary equi-join: Spark shuffles it, broadcasts a side whose size it knows to be
 small, and splits skewed cells.  After it come the test of boxes, the caller's own condition, and the exact predicate.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from terrane.functions import spatial as S
 
 PREDICATES = ("intersects", "contains", "within", "covers", "coveredby", "containsproperly", "overlaps", "crosses", "touches", "equals", "dwithin", "bbox")
-#: Levels are even powers of two in this range: from far below a millimetre in degrees to beyond any planar extent.
-LOWEST, HIGHEST = -40, 60
+#: Levels are even powers of two in this range: fine enough for points, and cell numbers of any map projection fit a long.
+LOWEST, HIGHEST = -30, 60
 
 
 def _level(size: Column) -> Column:
@@ -43,14 +44,26 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def _dealt(df: DataFrame, side: str, levels: list[int]) -> DataFrame:
-    """A row for each cell that the box touches at each used level from its own upwards."""
+def _dealt(df: DataFrame, side: str, others: set[int]) -> DataFrame:
+    """A row for each cell that the box touches at its own level and at those above that the other side lives on, with the
+    part it plays there: 0 both at home, 1 only the left one, 2 only the right one."""
     own = F.col(f"_{side}l")
-    df = df.withColumn("_l", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda v: v >= own)))
+    home, guest = ([0, 1], 2) if side == "a" else ([0, 2], 1)
+    places = [F.array(*(F.struct(own.alias("l"), F.lit(r).alias("r")) for r in home))]
+    if others:
+        above = F.array(*(F.struct(F.lit(v).alias("l"), F.lit(guest).alias("r")) for v in sorted(others)))
+        places.append(F.filter(above, lambda p: p["l"] > own))
+    df = df.withColumn("_p", F.explode(F.concat(*places))).withColumns({"_l": F.col("_p")["l"], "_r": F.col("_p")["r"]}).drop("_p")
     span = lambda a, b: F.sequence(_cell(F.col(f"_{side}{a}"), F.col("_l")), _cell(F.col(f"_{side}{b}"), F.col("_l")))
     return df.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
 
 
+def _point_level(distance: float) -> int:
+    """Level of a point grown by ``distance``, with room for rounding."""
+    distance *= 1 + 1e-6
+    return LOWEST if distance <= 0 else max(LOWEST, min(HIGHEST, math.ceil(math.log2(2 * distance) / 2) * 2))
+
+
 def spatial_join(
     left: DataFrame,
     right: DataFrame,
@@ -66,8 +79,9 @@ def spatial_join(
 
     ``how``: inner, left, left_semi or left_anti; all but inner need ``left_key``, columns that identify a row of ``left``.
     ``distance`` (for dwithin) is a number or a column of ``left``.  ``residual`` is a further condition over both sides'
-    columns, tested before the exact predicate.  Columns that both sides have get the suffix ``_right`` on the right.
-    Null and empty geometries match nothing.  st_disjoint is no join predicate: its matches do not touch.
+    columns, tested before the exact predicate.  ``left`` may be a stream of points (larger geometries of a stream are left
+    out); each of its batches is joined with ``right`` as it was when the query was made.  Columns that both
+    sides have get the suffix ``_right`` on the right.  Null and empty geometries match nothing.  st_disjoint is no join predicate: its matches do not touch.
     """
     if predicate not in PREDICATES:
         raise ValueError(f"no join predicate {predicate!r}; there are {', '.join(PREDICATES)}")
@@ -84,13 +98,14 @@ def spatial_join(
     if d is not None:
         left = left.withColumn("_d", d.cast("double"))
     a, b = _boxed(left, left_geometry, "a", None if d is None else F.col("_d")), _boxed(right, right_geometry, "b", None)
-    levels = sorted(_levels(a, "a") | _levels(b, "b"))
-    if not levels:
-        return a.crossJoin(b.limit(0)).select(*names).limit(0)
-    lowest = min(max(min(_levels(a, "a"), default=LOWEST), LOWEST), max(levels))
-    levels = [v for v in levels if v >= lowest]
-    pairs = _dealt(a, "a", levels).join(_dealt(b, "b", levels), ["_l", "_cx", "_cy"])
-    pairs = pairs.where(F.col("_l") == F.greatest("_al", "_bl"))
+    if left.isStreaming:
+        if isinstance(distance, Column):
+            raise ValueError("a stream takes one distance for all rows")
+        a = a.where(F.col("_al") <= _point_level(distance or 0.0)).withColumn("_al", F.lit(_point_level(distance or 0.0)))
+        mine = {_point_level(distance or 0.0)}
+    else:
+        mine = _levels(a, "a")
+    pairs = _dealt(a, "a", _levels(b, "b")).join(_dealt(b, "b", mine), ["_l", "_r", "_cx", "_cy"])
     x, y = F.greatest("_ax0", "_bx0"), F.greatest("_ay0", "_by0")
     pairs = pairs.where((x <= F.least("_ax1", "_bx1")) & (y <= F.least("_ay1", "_by1")))
     pairs = pairs.where((_cell(x, F.col("_l")) == F.col("_cx")) & (_cell(y, F.col("_l")) == F.col("_cy")))
