@@ -16,7 +16,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 
-_SOURCE = Path(__file__).with_name("Kernels.java")
+_SOURCES = [Path(__file__).with_name(f"{name}.java") for name in ("Kernels", "Merge")]
 
 #: letter of a signature → DDL type that Catalyst sees ("g" is a geometry: EWKB outside, an object inside)
 DDL = {
@@ -42,8 +42,9 @@ class Bridge:
         self.spark, self.jvm = spark, spark.sparkContext._jvm
         jar = self._jar()
         spark._jsparkSession.sessionState().resourceLoader().addJar(jar)
-        loader = spark._jsparkSession.sharedState().jarClassLoader()
-        self.kernels = loader.loadClass("terrane.Kernels")
+        self.loader = spark._jsparkSession.sharedState().jarClassLoader()
+        self.kernels = self.loader.loadClass("terrane.Kernels")
+        self.merges: dict[bool, object] = {}
         geometry = self.jvm.java.lang.Class.forName("org.locationtech.jts.geom.Geometry")
         self.geometry = self.jvm.org.apache.spark.sql.types.ObjectType(geometry)
         self.exprs = self.jvm.org.apache.spark.sql.catalyst.expressions
@@ -51,17 +52,38 @@ class Bridge:
         self.types: dict[str, object] = {}
 
     def _jar(self) -> str:
-        source = _SOURCE.read_text()
-        mark = hashlib.sha256(source.encode()).hexdigest()[:16]
-        compiler = self.jvm.org.codehaus.janino.SimpleCompiler()
-        compiler.cook(source)
-        code = compiler.getBytecodes()
+        sources = [p.read_text() for p in _SOURCES]
+        mark = hashlib.sha256("".join(sources).encode()).hexdigest()[:16]
         path = os.path.join(tempfile.mkdtemp(prefix="terrane-jar-"), f"terrane-kernels-{mark}.jar")
+        parent = self.jvm.java.lang.Thread.currentThread().getContextClassLoader()
         with zipfile.ZipFile(path, "w") as z:
-            for name in code.keySet():
-                z.writestr(name.replace(".", "/") + ".class", bytes(code[name]))
+            for source in sources:
+                compiler = self.jvm.org.codehaus.janino.SimpleCompiler()
+                compiler.setParentClassLoader(parent)
+                compiler.cook(source)
+                code = compiler.getBytecodes()
+                for name in code.keySet():
+                    z.writestr(name.replace(".", "/") + ".class", bytes(code[name]))
+                parent = compiler.getClassLoader()  # later sources see earlier ones
         return path
 
+    def merger(self, hull: bool):
+        """Aggregate function: hull or union of a group, merged before and after the shuffle."""
+        if hull not in self.merges:
+            made = self.loader.loadClass("terrane.Merge").getConstructors()[0].newInstance(self._array(hull))
+            self.merges[hull] = self.jvm.org.apache.spark.sql.functions.udaf(made, self.jvm.org.apache.spark.sql.Encoders.BINARY())
+        return self.merges[hull]
+
+    def merge(self, hull: bool, column: Column) -> Column:
+        columns = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.spark.sql.Column, 1)
+        columns[0] = column._jc
+        return Column(self.merger(hull).apply(columns))
+
+    def _array(self, value):
+        array = self.spark.sparkContext._gateway.new_array(self.jvm.java.lang.Object, 1)
+        array[0] = value
+        return array
+
     def type(self, kind: str):
         if kind == "g":
             return self.geometry

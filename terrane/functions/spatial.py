@@ -47,8 +47,7 @@ SIGNATURES: dict[str, tuple[str, str]] = {
 }
 VERSION = "3.12.0"
 
-_INTERNAL = {"bounds": ("g", "e"), "st_makebox": ("dddd", "g"), "collect_array": ("a", "g"), "makeline_array": ("a", "g"), "convexhull_array": ("a", "g"),
-             "union_array": ("a", "g"), "stored": ("swwd", "b")}
+_INTERNAL = {"bounds": ("g", "e"), "st_makebox": ("dddd", "g"), "collect_array": ("a", "g"), "makeline_array": ("a", "g"), "stored": ("swwd", "b")}
 
 
 def _column(x) -> Column:
@@ -94,6 +93,9 @@ def geos_bench_noop(*_) -> Column:
     return F.lit(True).alias("geos_bench_noop")
 
 
+geos_bench_noop_rb = geos_bench_noop
+
+
 def geos_bench_intersects_nobbox(a, b) -> Column:
     """st_intersects without a test of boxes before it."""
     return kernel("st_intersects", a, b).alias("geos_bench_intersects_nobbox")
@@ -126,13 +128,13 @@ def st_collect_agg(geometry) -> Column:
 
 
 def st_union_agg(geometry) -> Column:
-    """Dissolved union of a group; invalid polygons raise an error."""
-    return kernel("union_array", F.collect_list(geometry), alias="st_union_agg")
+    """Dissolved union of a group, merged before and after the shuffle; invalid polygons raise an error."""
+    return bridge().merge(False, _column(geometry)).alias("st_union_agg")
 
 
 def st_convexhull_agg(geometry) -> Column:
-    """Convex hull of a group.  Copies of a geometry are collected once."""
-    return kernel("convexhull_array", F.collect_set(geometry), alias="st_convexhull_agg")
+    """Convex hull of a group, merged before and after the shuffle."""
+    return bridge().merge(True, _column(geometry)).alias("st_convexhull_agg")
 
 
 def st_extent_agg(geometry) -> Column:
@@ -150,7 +152,8 @@ def st_makeline_agg(geometry, order=None) -> Column:
     return kernel("makeline_array", F.transform(sorted_, lambda s: s["g"]), alias="st_makeline_agg")
 
 
-AGGREGATES = {"st_collect_agg": "collect_array", "st_union_agg": "union_array", "st_convexhull_agg": "convexhull_array", "st_makeline_agg": "makeline_array"}
+AGGREGATES = {"st_collect_agg": "collect_array", "st_makeline_agg": "makeline_array"}
+MERGED = {"st_union_agg": False, "st_convexhull_agg": True}
 
 
 # ---- SQL names
@@ -200,6 +203,9 @@ def register(spark: SparkSession) -> list[str]:
     for name, kernel_name in AGGREGATES.items():
         put(name, lambda args, kernel_name=kernel_name: collected(args, kernel_name), 1)
 
+    for name, hull in MERGED.items():
+        spark._jsparkSession.udf().register(name, b.merger(hull))
+
     def extent(args):
         field = jvm.org.apache.spark.sql.catalyst.expressions.GetStructField
         e = b.static("bounds", "e", [b.geometry_of(args[0])])
@@ -213,4 +219,4 @@ def register(spark: SparkSession) -> list[str]:
     put("geos_bench_noop", lambda args: literal.create(True, b.type("b")))
     put("geos_bench_noop_rb", lambda args: literal.create(True, b.type("b")))
     put("geos_bench_intersects_nobbox", lambda args: b.call("st_intersects", "gg", "b", args), 2)
-    return [*SIGNATURES, *AGGREGATES, "st_extent_agg", "geos_version", "geos_bench_noop", "geos_bench_noop_rb", "geos_bench_intersects_nobbox"]
+    return [*SIGNATURES, *AGGREGATES, *MERGED, "st_extent_agg", "geos_version", "geos_bench_noop", "geos_bench_noop_rb", "geos_bench_intersects_nobbox"]

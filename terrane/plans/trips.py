@@ -96,9 +96,8 @@ def q4_zones_of_top_tips(trips: DataFrame, zones: DataFrame) -> DataFrame:
 def q5_travel_hulls(trips: DataFrame, customers: DataFrame) -> DataFrame:
     own = trips.join(customers, trips.t_custkey == customers.c_custkey)
     months = own.groupBy("c_custkey", F.col("c_name").alias("customer_name"), F.date_trunc("month", "t_pickuptime").cast("timestamp_ntz").alias("pickup_month"))
-    hulls = months.agg(F.count("*").alias("dropoff_count"), F.collect_list("t_dropoffloc").alias("_g")).where("dropoff_count > 5")
-    area = S.st_area(S.kernel("convexhull_array", F.col("_g"))).alias("monthly_travel_hull_area")
-    hulls = hulls.select("c_custkey", "customer_name", "pickup_month", area, "dropoff_count")
+    hulls = months.agg(F.count("*").alias("dropoff_count"), S.st_convexhull_agg(F.col("t_dropoffloc")).alias("_hull")).where("dropoff_count > 5")
+    hulls = hulls.select("c_custkey", "customer_name", "pickup_month", S.st_area(F.col("_hull")).alias("monthly_travel_hull_area"), "dropoff_count")
     return hulls.orderBy(F.desc("monthly_travel_hull_area"), "c_custkey", "pickup_month").limit(100)
 
 

@@ -117,6 +117,17 @@ def test_aggregates_in_sql(spark, sql):
         spark.sql(f"SELECT st_union_agg(st_geomfromtext('{BOWTIE}'))").collect()
 
 
+def test_merged_aggregates_of_many_rows(spark):
+    """More rows than a state holds, over several partitions: states shrink and merge on the way."""
+    grid = spark.range(6000).repartition(5).select((F.col("id") % 80).alias("x"), F.floor(F.col("id") / 80).alias("y"), (F.col("id") % 2).alias("k"))
+    r = grid.groupBy("k").agg(S.st_area(S.st_convexhull_agg(S.st_makepoint(F.col("x"), F.col("y")))).alias("hull"), S.st_area(S.st_union_agg(S.box(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1))).alias("union"))
+    assert sorted((x["k"], x["hull"], round(x["union"], 6)) for x in r.collect()) == [(0, 78 * 74.0, 3000.0), (1, 78 * 74.0, 3000.0)]
+    empty = spark.range(1).select(S.st_isempty(S.st_convexhull_agg(F.lit(None).cast("binary"))).alias("e"), S.st_isempty(S.st_union_agg(F.lit(None).cast("binary"))).alias("u")).first()
+    assert tuple(empty) == (True, True)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" in plan
+
+
 def test_makeline_keeps_the_given_order(spark):
     df = spark.createDataFrame([(3, 1.0), (1, 5.0), (2, 9.0)], "o int, x double")
     line = df.agg(S.st_astext(S.st_makeline_agg(S.st_makepoint(F.col("x"), 0.0), F.col("o"))).alias("l")).first()["l"]
