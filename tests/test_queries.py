@@ -1,14 +1,14 @@
 import pytest
 
 import __spark_entry__ as entry
-from terrane.plans import functions, trips
+from terrane.plans import functions, relational, trips
 from tests.conftest import DATA
 from tests.oracle import same
 
 
-@pytest.mark.parametrize("name", [*trips.QUERIES, *functions.QUERIES])
+@pytest.mark.parametrize("name", [*trips.QUERIES, *functions.QUERIES, *relational.QUERIES])
 def test_matches_sql(spark, name):
-    same(spark, f"{DATA}/sf0.001", {**trips.QUERIES, **functions.QUERIES}[name], {**trips.SQL, **functions.SQL}[name])
+    same(spark, f"{DATA}/sf0.001", {**trips.QUERIES, **functions.QUERIES, **relational.QUERIES}[name], {**trips.SQL, **functions.SQL, **relational.SQL}[name])
 
 
 def test_entry_gives_rows(spark):
