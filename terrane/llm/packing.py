@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048, en
 
 
 def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for every capacity, and the length (its index) to take first there, or -1."""
+    """Best value for every capacity, and the length (its index) to take first there, or -1; of equal values the longest."""
     best, first = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -156,7 +156,7 @@ def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.
         best[c] = best[c - 1]
         if n:
             value = best[c - lengths[:n]] + price[:n]
-            k = int(value.argmax())
+            k = int(n) - 1 - int(value[::-1].argmax())
             if value[k] >= best[c]:
                 best[c], first[c] = value[k], k
     return best, first
@@ -206,14 +206,17 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 60, rate: floa
 def rounded(histogram: dict[int, int], taken: dict[tuple, float], capacity: int) -> list[tuple[tuple, int]]:
     """Whole sequences: (lengths, how many) that hold every piece of the histogram exactly once.
 
-    Full configurations are rounded up as far as there are pieces for them, others down; the rest goes best-fit decreasing.
+    Full configurations are rounded up as far as there are pieces for them; what others would hold, and the rest, goes
+    best-fit decreasing, which fills sequences at least as well.
     """
     left, out = dict(histogram), []
     if left.get(capacity):
         out.append(((capacity,), left.pop(capacity)))
     for config, x in sorted(taken.items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
+        if sum(config) < capacity:
+            break
         times = {k: config.count(k) for k in set(config)}
-        n = min(int(np.ceil(x)) if sum(config) == capacity else int(x), *(left[k] // t for k, t in times.items()))
+        n = min(int(np.ceil(x)), *(left[k] // t for k, t in times.items()))
         if n > 0:
             out.append((config, n))
             for k, t in times.items():
