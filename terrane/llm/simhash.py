@@ -9,10 +9,16 @@ some ``b - radius`` whole blocks, so equal blocks are an equi-join key that lose
 number of distinct fingerprints, so that a block's bucket stays near a constant size; every choice is exact.  A bucket is
 streamed in the order of its first pivot distance and only a window of ``radius`` around each row is held, so a bucket of
 any size needs bounded memory, and rows that already hang together are not compared again.
+
+Few bits of a short fingerprint tell only nearly equal texts apart.  For copies of a given similarity (``near_copies``) texts
+get 1,024 bits over their sets of shingles, whose share of differing bits follows the angle between the sets.  There, pairs
+come from blocks of bits that such copies share with known probability, enough of them to find a pair at the
+threshold with ``recall``; the pivot table and the verification are the same, over more bits.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import common
+from terrane.llm.passages import word_hashes
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -175,12 +182,152 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, n_pivots
     return fps.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+def _majority(rows: np.ndarray) -> np.ndarray:
+    """(n, words) → words: a bit is set if it is in over half of the rows.
+
+    Counts every bit at once: carry-save adders turn rows of one weight into sums and carries, until a row of each
+    weight is left.
+    """
+    planes, level, n = [], rows, len(rows)
+    while len(level):
+        carries = []
+        while len(level) > 2:
+            k = len(level) // 3
+            a, b, c = level[:k], level[k : 2 * k], level[2 * k : 3 * k]
+            either = a ^ b
+            carries.append((a & b) | (c & either))
+            level = np.concatenate([either ^ c, level[3 * k :]])
+        if len(level) == 2:
+            carries.append(level[:1] & level[1:])
+            level = level[:1] ^ level[1:]
+        planes.append(level[0])
+        level = np.concatenate(carries) if carries else level[:0]
+    least = n // 2 + 1
+    more, same = np.zeros(rows.shape[1], _U), np.full(rows.shape[1], ~_U(0))
+    for weight in reversed(range(max(len(planes), least.bit_length()))):
+        plane = planes[weight] if weight < len(planes) else np.zeros(rows.shape[1], _U)
+        if least >> weight & 1:
+            same = same & plane
+        else:
+            more, same = more | (same & plane), same & ~plane
+    return more | same
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5, words: int = 16) -> bytes:
+    """Fingerprint of ``words`` x 64 bits over a text's set of shingles (a text of fewer words is one shingle)."""
+    w = word_hashes(text)
+    if not len(w):
+        return bytes(8 * words)
+    k = min(shingle, len(w))
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(w) - k + 1, _U)
+        for j in range(k):
+            h = h * _U(0x100000001B3) + w[j : j + len(h)]
+        h = np.unique(h)
+        x = h[:, None] + np.arange(1, words + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        x ^= x >> _U(31)
+    return _majority(x).tobytes()
+
+
+def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: float = 0.97, part: int = 2048, batch: int = 50_000) -> DataFrame:
+    """(fp binary, rep) with distinct fp → (u, v) links between reps of texts that are ``similarity`` alike.
+
+    Sets of Jaccard similarity s and equal size have a cosine of 2s / (1 + s), and differ in the share of bits that their
+    angle has of a half turn; two per cent are added for the spread of such a count.  Blocks of bits are as wide as keeps
+    buckets near 64 rows, and as many as find a pair at the threshold with ``recall``.  A bucket of more than ``part`` rows
+    (one large group of copies, which hang together many times over) is dealt into parts, anew for every block.
+    """
+    n, wide = reps.count(), reps.select(F.max(F.length("fp"))).first()[0] or 8
+    bits = 8 * wide
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(bits * (apart + 0.02))
+    width = max(12, math.ceil(math.log2(max(n, 1) / 64)))
+    bands = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** width))
+    ref = np.tile(pivots(n_pivots)[:, None], (1, bits // 64)) ^ pivots(n_pivots + bits // 64)[n_pivots:]
+
+    def spread(batches):
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, wide)
+            ones = np.unpackbits(rows, axis=1, bitorder="little").astype(np.int64)
+            place = np.int64(1) << np.arange(width, dtype=np.int64)
+            for k in range(bands):
+                key = ones[:, (np.arange(width) + k * width) % bits] @ place
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(key), b.column(0), b.column(1)], ["block", "key", "fp", "rep"])
+
+    def compare(batches):
+        held, rows = [], 0
+
+        def work(tables):
+            t = pa.concat_tables(tables).combine_chunks()
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, bits // 64)
+            rep = t.column("rep").to_numpy()
+            group = np.repeat(np.arange(len(tables)), [len(x) for x in tables])
+            table = np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int32) for r in ref], axis=1)
+            sets = common.Sets(len(fp))
+            label, i, k = sets.labels(), np.arange(len(fp)), 0
+            while True:
+                k += 1
+                i = i[: np.searchsorted(i, len(fp) - k)]
+                i = i[group[i] == group[i + k]]
+                if not len(i):
+                    break
+                a = i[label[i] != label[i + k]]
+                a = a[(np.abs(table[a] - table[a + k]) <= most).all(axis=1)]
+                a = a[np.bitwise_count(fp[a] ^ fp[a + k]).sum(axis=1, dtype=np.int32) <= most]
+                if len(a):
+                    sets.join(a, a + k)
+                    label = sets.labels()
+            linked = label != np.arange(len(fp))
+            return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["u", "v"])
+
+        for t in common.runs(batches, 3):
+            if t.num_rows > 1:
+                held.append(t)
+                rows += t.num_rows
+            if rows >= batch:
+                yield work(held)
+                held, rows = [], 0
+        if held:
+            yield work(held)
+
+    dealt = reps.select("fp", "rep").mapInArrow(spread, "block int, key long, fp binary, rep long")
+    large = common.cut(dealt.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > part), "simhash-large")
+    dealt = dealt.join(large, ["block", "key"], "left")
+    parts = F.when(F.col("n").isNull(), 1).otherwise(F.ceil(F.col("n") / part)).cast("int")
+    dealt = dealt.select("block", "key", F.pmod(F.xxhash64("rep", "block"), parts).cast("int").alias("part"), "fp", "rep")
+    return dealt.repartition("block", "key", "part").sortWithinPartitions("block", "key", "part").mapInArrow(compare, "u long, v long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (smallest doc_id reachable over links, itself included).
+
+    Texts link when their sets of ``shingle``-word shingles are ``similarity`` alike (Jaccard), as far as the fingerprints
+    tell.  Null and empty texts and repeated rows are treated as in :func:`near_duplicates`.
+    """
+    common.small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t or b"", shingle, words) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    fps = common.cut(rows.mapInArrow(run, "doc_id long, fp binary"), "simhash-wide")
+    reps = common.cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-rep")
+    component = common.connected_components(near_links(reps, similarity, recall=recall), "simhash-cc")
+    named = reps.join(component, reps.rep == component.node, "left")
+    named = named.select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "component_id")
+
+
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id.  Rows without a doc_id stay."""
-    keep = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest
+    doc_id.  Rows without a doc_id stay."""
+    keep = near_copies(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").select(docs.columns)

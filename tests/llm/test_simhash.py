@@ -53,6 +53,51 @@ def test_equals_brute_force(spark, clashing):
     assert got == {k: (prints[k], component[k]) for k in prints}
 
 
+def jaccard(a, b, k=5):
+    one, two = (set(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) for w in ((t or "").lower().split() for t in (a, b)))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 200])
+def test_majority_equals_counting(n):
+    rows = np.random.default_rng(n).integers(0, 1 << 63, (n, 3), dtype=np.uint64) * np.uint64(2)
+    bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
+    assert (np.unpackbits(simhash._majority(rows).view(np.uint8), bitorder="little") == (2 * bits.sum(axis=0) > n)).all()
+
+
+@pytest.mark.parametrize("part", [2048, 4])
+def test_near_copies_of_a_similarity(spark, part):
+    """Copies of 0.85 and more are found, texts under 0.6 are left alone, whatever the size of buckets."""
+    rng = random.Random(11)
+    rows = [(i, data.prose(rng, rng.randint(60, 200)), "en", "s", 0) for i in range(60)]
+    for c in range(4):
+        for i in range(60):
+            w = rows[i][1].split()
+            for _ in range(rng.randint(0, len(w) // 60)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((100 * (c + 1) + i, " ".join(w), "en", "s", 0))
+    df = data.frame(spark, rows)
+    if part == 2048:
+        of = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    else:
+        fps = spark.createDataFrame([(bytearray(simhash.wide_fingerprint(t.encode())), i) for i, t, *_ in rows], "fp binary, rep long").groupBy("fp").agg({"rep": "min"}).toDF("fp", "rep")
+        found = {r["node"]: r["component"] for r in common.connected_components(simhash.near_links(fps, 0.8, part=part)).collect()}
+        first = {}
+        for i, t, *_ in rows:
+            first[t] = min(first.get(t, i), i)
+        of = {i: found.get(first[t], first[t]) for i, t, *_ in rows}
+    text = {r[0]: r[1] for r in rows}
+    near = [(a, b) for a in text for b in text if a < b and a % 100 == b % 100]
+    assert sum(of[a] == of[b] for a, b in near if jaccard(text[a], text[b]) >= 0.85) >= 0.99 * sum(jaccard(text[a], text[b]) >= 0.85 for a, b in near) > 0
+    assert all(of[a] % 100 == a % 100 for a in text)
+
+
+def test_near_copies_of_awkward_rows(spark):
+    by = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(data.frame(spark, data.awkward(), True)).collect()}
+    assert by[8] == by[7] == 7 and by[1] == by[2] == by[3] == 1 and by[4] == by[5] == by[6] == 4 and by[9] == 9
+    assert simhash.near_copies(data.frame(spark, [])).count() == 0
+
+
 def test_awkward_rows(spark):
     out = simhash.near_duplicates(data.frame(spark, data.awkward(), True)).collect()
     assert len(out) == len(data.awkward())
