@@ -74,21 +74,23 @@ def spatial_join(
     distance: float | Column | None = None,
     residual: Callable[[], Column] | Column | None = None,
     left_key: list[str] | None = None,
+    points: bool = False,
 ) -> DataFrame:
     """Pairs of rows whose geometries satisfy ``predicate`` (left to right, as in st_within(left, right)).
 
     ``how``: inner, left, left_semi or left_anti; all but inner need ``left_key``, columns that identify a row of ``left``.
     ``distance`` (for dwithin) is a number or a column of ``left``.  ``residual`` is a further condition over both sides'
-    columns, tested before the exact predicate.  ``left`` may be a stream of points (larger geometries of a stream are left
-    out); each of its batches is joined with ``right`` as it was when the query was made.  Columns that both
-    sides have get the suffix ``_right`` on the right.  Null and empty geometries match nothing.  st_disjoint is no join predicate: its matches do not touch.
+    columns, tested before the exact predicate.  ``points`` says that ``left`` holds points only, which saves the pass that
+    looks for its levels (a larger geometry then raises an error).  ``left`` may be a stream of points; each of its batches
+    is joined with ``right`` as it was when the query was made.  Columns that both sides have get the suffix ``_right`` on
+    the right.  Null and empty geometries match nothing.  st_disjoint is no join predicate: its matches do not touch.
     """
     if predicate not in PREDICATES:
         raise ValueError(f"no join predicate {predicate!r}; there are {', '.join(PREDICATES)}")
     if (predicate == "dwithin") != (distance is not None):
         raise ValueError("dwithin, and only it, takes a distance")
     if how != "inner":
-        return _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key)
+        return _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key, points)
     for c in right.columns:
         if c in left.columns:
             right = right.withColumnRenamed(c, f"{c}_right")
@@ -98,11 +100,12 @@ def spatial_join(
     if d is not None:
         left = left.withColumn("_d", d.cast("double"))
     a, b = _boxed(left, left_geometry, "a", None if d is None else F.col("_d")), _boxed(right, right_geometry, "b", None)
-    if left.isStreaming:
+    if left.isStreaming or points and not isinstance(distance, Column):
         if isinstance(distance, Column):
             raise ValueError("a stream takes one distance for all rows")
-        a = a.where(F.col("_al") <= _point_level(distance or 0.0)).withColumn("_al", F.lit(_point_level(distance or 0.0)))
-        mine = {_point_level(distance or 0.0)}
+        level = _point_level(distance or 0.0)
+        larger = F.raise_error(F.lit("the left side of a join of points holds a larger geometry"))
+        a, mine = a.withColumn("_al", F.when(F.col("_al") <= level, F.lit(level)).otherwise(larger.cast("int"))), {level}
     else:
         mine = _levels(a, "a")
     pairs = _dealt(a, "a", _levels(b, "b")).join(_dealt(b, "b", mine), ["_l", "_r", "_cx", "_cy"])
@@ -115,15 +118,15 @@ def spatial_join(
     return pairs.where(exact).select(*names)
 
 
-def _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key) -> DataFrame:
+def _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key, points) -> DataFrame:
     if how not in ("left", "left_semi", "left_anti"):
         raise ValueError(f"no spatial join {how!r}")
     if not left_key:
         raise ValueError(f"a {how} spatial join needs left_key")
     if how != "left":
-        found = spatial_join(left, right, left_geometry, right_geometry, predicate, "inner", distance, residual)
+        found = spatial_join(left, right, left_geometry, right_geometry, predicate, "inner", distance, residual, points=points)
         return left.join(found.select(*left_key), left_key, how)
-    matched = spatial_join(left, right, left_geometry, right_geometry, predicate, "inner", distance, residual)
+    matched = spatial_join(left, right, left_geometry, right_geometry, predicate, "inner", distance, residual, points=points)
     rest = matched.columns[len(left.columns) :]
     keys = [f"_k{i}" for i in range(len(left_key))]
     matched = matched.select(*(F.col(k).alias(n) for k, n in zip(left_key, keys)), *rest)

@@ -89,7 +89,7 @@ def q3_monthly_stats(trips: DataFrame) -> DataFrame:
 
 def q4_zones_of_top_tips(trips: DataFrame, zones: DataFrame) -> DataFrame:
     top = trips.orderBy(F.desc("t_tip"), "t_tripkey").limit(1000).select("t_pickuploc")
-    found = spatial_join(top, zones, "t_pickuploc", "z_boundary", "within")
+    found = spatial_join(top, zones, "t_pickuploc", "z_boundary", "within", points=True)
     return found.groupBy("z_zonekey", "z_name").agg(F.count("*").alias("trip_count")).orderBy(F.desc("trip_count"), "z_zonekey")
 
 
@@ -103,7 +103,7 @@ def q5_travel_hulls(trips: DataFrame, customers: DataFrame) -> DataFrame:
 
 def q6_zone_stats_in_window(trips: DataFrame, zones: DataFrame) -> DataFrame:
     inside = where_spatial(zones, "intersects", "z_boundary", rectangle(*WINDOW))
-    found = spatial_join(trips, inside, "t_pickuploc", "z_boundary", "within")
+    found = spatial_join(trips, inside, "t_pickuploc", "z_boundary", "within", points=True)
     stats = found.groupBy("z_zonekey", "z_name").agg(F.count("t_tripkey").alias("total_pickups"), _average("t_distance", "avg_distance"), _average(seconds(), "avg_duration_seconds"))
     return stats.orderBy(F.desc("total_pickups"), "z_zonekey")
 
@@ -116,7 +116,7 @@ def q7_detour_ratio(trips: DataFrame) -> DataFrame:
 
 
 def q8_pickups_near_buildings(trips: DataFrame, buildings: DataFrame) -> DataFrame:
-    found = spatial_join(trips.select("t_pickuploc"), buildings, "t_pickuploc", "b_boundary", "dwithin", distance=NEARBY)
+    found = spatial_join(trips.select("t_pickuploc"), buildings, "t_pickuploc", "b_boundary", "dwithin", distance=NEARBY, points=True)
     return found.groupBy("b_buildingkey", "b_name").agg(F.count("*").alias("nearby_pickup_count")).orderBy(F.desc("nearby_pickup_count"), "b_buildingkey").limit(100)
 
 
@@ -132,7 +132,7 @@ def q9_building_overlaps(buildings: DataFrame) -> DataFrame:
 
 def q10_zone_averages(trips: DataFrame, zones: DataFrame) -> DataFrame:
     """Inner join and aggregate first, then the zones without trips: only one row a zone meets the outer join."""
-    found = spatial_join(trips, zones, "t_pickuploc", "z_boundary", "within")
+    found = spatial_join(trips, zones, "t_pickuploc", "z_boundary", "within", points=True)
     stats = found.groupBy(F.col("z_zonekey").alias("_z")).agg(_average(seconds(), "avg_duration_seconds"), _average("t_distance", "avg_distance"), F.count("t_tripkey").alias("n"))
     all_ = zones.select("z_zonekey", F.col("z_name").alias("pickup_zone")).join(stats, F.col("z_zonekey") == F.col("_z"), "left")
     all_ = all_.select("z_zonekey", "pickup_zone", "avg_duration_seconds", "avg_distance", F.coalesce("n", F.lit(0)).alias("num_trips"))
@@ -141,8 +141,8 @@ def q10_zone_averages(trips: DataFrame, zones: DataFrame) -> DataFrame:
 
 def q11_cross_zone_trips(trips: DataFrame, zones: DataFrame) -> DataFrame:
     """Two joins; only keys and the second point go from one to the other."""
-    start = spatial_join(trips.select("t_pickuploc", "t_dropoffloc"), zones.select(F.col("z_zonekey").alias("pickup_zone"), F.col("z_boundary").alias("zb1")), "t_pickuploc", "zb1", "within")
-    both = spatial_join(start.select("t_dropoffloc", "pickup_zone"), zones.select(F.col("z_zonekey").alias("dropoff_zone"), F.col("z_boundary").alias("zb2")), "t_dropoffloc", "zb2", "within", residual=F.expr("pickup_zone <> dropoff_zone"))
+    start = spatial_join(trips.select("t_pickuploc", "t_dropoffloc"), zones.select(F.col("z_zonekey").alias("pickup_zone"), F.col("z_boundary").alias("zb1")), "t_pickuploc", "zb1", "within", points=True)
+    both = spatial_join(start.select("t_dropoffloc", "pickup_zone"), zones.select(F.col("z_zonekey").alias("dropoff_zone"), F.col("z_boundary").alias("zb2")), "t_dropoffloc", "zb2", "within", residual=F.expr("pickup_zone <> dropoff_zone"), points=True)
     return both.agg(F.count("*").alias("cross_zone_trip_count"))
 
 

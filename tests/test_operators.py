@@ -63,6 +63,18 @@ def test_join_of_nothing(sides, spark):
         spatial_join(left, right, "g", "f", "disjoint")
 
 
+@pytest.mark.parametrize("distance", [None, 0.5, 3.0])
+def test_points_need_no_pass_for_levels(sides, spark, distance):
+    _, right = sides
+    rng = random.Random(7)
+    dots = spark.createDataFrame([(i, rng.randrange(-400, 400) / 8, rng.randrange(-400, 400) / 8) for i in range(300)], "i int, x double, y double").select("i", S.st_makepoint(F.col("x"), F.col("y")).alias("g"))
+    predicate = "intersects" if distance is None else "dwithin"
+    one, other = ({tuple(r) for r in spatial_join(dots, right, "g", "f", predicate, distance=distance, points=p).select("i", "j").collect()} for p in (True, False))
+    assert one == other and one
+    with pytest.raises(Exception):
+        spatial_join(right.withColumnRenamed("f", "h").withColumnRenamed("j", "k"), right, "h", "f", "intersects", points=True).count()
+
+
 def test_same_column_names_get_a_suffix(sides):
     left, _ = sides
     pairs = spatial_join(left, left, "g", "g", "intersects", residual=F.expr("i < i_right"))
