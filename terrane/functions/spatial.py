@@ -195,6 +195,13 @@ def register(spark: SparkSession) -> list[str]:
     for name, (kinds, out) in SIGNATURES.items():
         put(name, lambda args, name=name, kinds=kinds, out=out: b.call(name, kinds, out, args), len(kinds))
     jvm = spark.sparkContext._jvm
+    exprs = jvm.org.apache.spark.sql.catalyst.expressions
+
+    def knn(args):
+        nothing = b.cast(exprs.CreateArray(b.seq([]), False), "k")
+        return exprs.If(exprs.IsNull(args[0]), nothing, b.call("st_knn", *SIGNATURES["st_knn"], args))
+
+    put("st_knn", knn, 3)
     aggregate = jvm.org.apache.spark.sql.catalyst.expressions.aggregate
 
     def collected(args, kernel):

@@ -73,6 +73,8 @@ CASES = [
     ("size(st_knn(st_makepoint(0, 0), array(), 3))", 0),
     ("st_knn(st_makepoint(0, 0), array(st_makepoint(2, 0), st_makepoint(1, 0), st_makepoint(2, 0)), 2).idx", [1, 0]),
     ("st_knn(st_makepoint(0, 0), array(st_makepoint(2, 0)), 5).distance", [2.0]),
+    ("st_knn(NULL, array(st_makepoint(1, 1)), 1)", []),
+    ("size(st_knn(st_makepoint(0, 0), array(st_makepoint(1, 1)), 0))", 0),
     ("st_area(NULL)", None),
     (f"st_intersects(NULL, {g(SQUARE)})", None),
 ]
