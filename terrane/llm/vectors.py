@@ -24,31 +24,33 @@ from terrane.llm import common
 
 
 class Tree:
-    """Nodes in breadth-first order; the leaves are the last level.  A node without a sample of its own splits by the
-    sample of its parent."""
+    """One random direction a level, and for each node the band around the median of its sample's projections.
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator):
+    Nodes are fitted as deep as the sample reaches (``enough`` vectors a node); below, every fitted leaf goes on splitting by
+    the bands of its own sample.  So a tree of any depth has as many numbers as its sample.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator, enough: int = 8):
         self.depth = depth
-        inner = (1 << depth) - 1
-        self.direction = rng.standard_normal((max(inner, 1), sample.shape[1])).astype(np.float32)
-        self.low, self.high = np.zeros(max(inner, 1)), np.zeros(max(inner, 1))
-        held = {0: sample}
-        for node in range(inner):
-            own = held.pop(node)
-            at = own @ self.direction[node].astype(float)
-            self.low[node], middle, self.high[node] = np.quantile(at, (0.5 - spill / 2, 0.5, 0.5 + spill / 2)) if len(at) else (0.0, 0.0, 0.0)
-            left = own[at <= middle]
-            enough = min(len(left), len(own) - len(left)) >= 8
-            held[2 * node + 1], held[2 * node + 2] = (left, own[at > middle]) if enough else (own, own)
+        self.fitted = min(depth, max(0, int(math.log2(max(1, len(sample) / enough)))))
+        self.directions = rng.standard_normal((max(depth, 1), sample.shape[1]))
+        self.bands: list[np.ndarray] = []
+        cells = [sample]
+        for level in range(depth):
+            at = [c @ self.directions[level] for c in cells]
+            self.bands.append(np.array([np.quantile(v, (0.5 - spill / 2, 0.5 + spill / 2)) if len(v) else (0.0, 0.0) for v in at]))
+            if level < self.fitted:
+                cells = [part for c, v in zip(cells, at) for part in ((c[v <= np.median(v)], c[v > np.median(v)]) if len(v) else (c, c))]
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of unit vectors; a row may have several leaves."""
-        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            at = np.einsum("ij,ij->i", x[row], self.direction[node].astype(float))
-            left, right = at <= self.high[node], at > self.low[node]
-            row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
-        return row, node - ((1 << self.depth) - 1)
+        row, leaf, cell = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for level in range(self.depth):
+            at, band = (x @ self.directions[level])[row], self.bands[level][cell]
+            left, right = at <= band[:, 1], at > band[:, 0]
+            row, leaf = np.r_[row[left], row[right]], np.r_[2 * leaf[left], 2 * leaf[right] + 1]
+            cell = np.r_[cell[left], cell[right]] if level >= self.fitted else leaf
+        return row, leaf
 
 
 def units(values: np.ndarray) -> np.ndarray:

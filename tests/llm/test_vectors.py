@@ -45,6 +45,17 @@ def test_recall_and_no_false_link(spark):
     assert sum(got[i]["component_id"] == e[2] for i, e in expected.items()) >= 0.97 * len(rows)
 
 
+def test_trees_of_any_depth_follow_their_sample():
+    rng = np.random.default_rng(4)
+    x = vectors.units(rng.standard_normal((4000, 16)))
+    tree = vectors.Tree(x[:256], 30, 0.1, rng)
+    row, leaf = tree.route(x)
+    assert sum(b.size for b in tree.bands) < 2 * 30 * 32 and set(row.tolist()) == set(range(4000)) and leaf.max() < 1 << 30
+    shallow = vectors.Tree(x, 5, 0.0, rng)
+    sizes = np.bincount(shallow.route(x)[1], minlength=32)
+    assert len(sizes) == 32 and sizes.min() >= 100 and sizes.max() <= 150  # medians halve
+
+
 def test_small_tables_are_exact(spark):
     nan, inf = float("nan"), float("inf")
     rows = [[1, [1.0, 0.0], 0], [2, [2.0, 0.0], 0], [3, [1.0, 0.0], 0], [3, [1.0, 0.0], 0], [4, [1.0, 0.0], 1], [5, [0.0, 0.0], 0], [6, None, 0], [7, [1.0, None], 0], [8, [nan, 1.0], 0], [9, [inf, 1.0], 0],
