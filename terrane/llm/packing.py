@@ -38,7 +38,7 @@ class Encoder:
     PUNCTUATION = frozenset(".,;:!?")
     MARK = "</w>"
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.room = Tokenizer.from_file(path), {}, room

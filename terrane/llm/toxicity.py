@@ -28,7 +28,7 @@ WORDS = re.compile(r"\w+")
 ORDER = 6
 STRONG = 3.0
 TOP = 3
-LONGEST = 40  # a word is scored by windows of this many characters, all of them
+LONGEST = 40  # longer words are scored like any other, but not remembered
 
 
 def grams(word: str, order: int = ORDER):
@@ -85,7 +85,7 @@ def fit(counts: dict[str, tuple[int, int]], discount: float = 0.75) -> tuple[dic
 class Scorer:
     """Log-likelihood ratios of words and the features of a text."""
 
-    def __init__(self, ratio: dict[str, float], rest: dict[str, float], weights=None, room: int = 300_000):
+    def __init__(self, ratio: dict[str, float], rest: dict[str, float], weights=None, room: int = 200_000):
         self.ratio, self.rest, self.weights, self.room, self.known = ratio, rest, weights, room, {}
 
     def __reduce__(self):
