@@ -38,7 +38,7 @@ class Encoder:
     PUNCTUATION = frozenset(".,;:!?")
     MARK = "</w>"
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.room = Tokenizer.from_file(path), {}, room
@@ -73,15 +73,13 @@ class Encoder:
         letters.update(w for w in stems.values() if w not in known)
         self.learn([w for w in letters if len(w) <= 64])
         marks = {p: self.direct(p) for p in {w[-1] for w in stems}}
-        for k, w in enumerate(words):
-            if out[k] is None:
-                ids = known.get(w)
-                if ids is None:
-                    ids = (known.get(stems[w]) or self.direct(stems[w])) + marks[w[-1]] if w in stems else self.direct(w)
-                    if len(w) <= 64:
-                        known[w] = ids
-                out[k] = ids
-        return out
+        found = {w: (known.get(s) or self.direct(s)) + marks[w[-1]] for w, s in stems.items()}
+        for w in new:
+            if w not in found and w not in known:
+                found[w] = self.direct(w)
+                if len(w) <= 64:
+                    known[w] = found[w]
+        return [v if v is not None else found[w] if w in found else known[w] for w, v in zip(words, out)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Arrow splits and numbers the words of all texts; each different word is looked up once, and numpy lays the ids out."""
@@ -123,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048, en
     A null text counts as empty and gives one piece that holds ``end`` alone.  ``tokenizer`` is a path, or a name that
     public_tokenizers resolves on the executor.
     """
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 1024)
 
     def run(batches):
         import public_tokenizers
