@@ -14,6 +14,7 @@ so that a length which a third of all pieces share is dealt over many tasks.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -31,26 +32,36 @@ class Encoder:
     """Texts → bytes of little-endian unsigned 32-bit ids, for tokenizers that drop white space and mark word ends.
 
     Such a tokenizer never joins text across white space, nor letters with what is no letter; so a text's ids are those of its
-    words, most of which come again and are remembered.  New words of letters are encoded many at a time and told apart
-    by their last tokens, which carry the mark; anything else goes to the tokenizer on its own.
+    words, most of which come again and are remembered.  New words of small Latin letters, which neither the normalizer nor
+    the splitting changes, go to the model at once; other words of letters are encoded many at a time and told apart by their
+    last tokens, which carry the mark; anything else goes to the tokenizer on its own.
     """
 
     PUNCTUATION = frozenset(".,;:!?")
     MARK = "</w>"
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.room = Tokenizer.from_file(path), {}, room
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.MARK)]] = True
+        small = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower() and self.tokenizer.normalizer.normalize_str(c) == c]
+        self.letters = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in small}
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of words of letters."""
+        letters, tokenize, rest = self.letters, self.tokenizer.model.tokenize, []
+        for w in words:
+            try:
+                self.known[w] = array("I", [t.id for t in tokenize("".join([letters[c] for c in w]))]).tobytes()
+            except KeyError:
+                rest.append(w)
+        words = rest
         for k in range(0, len(words), 256):
             part = words[k : k + 256]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -121,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048, en
     A null text counts as empty and gives one piece that holds ``end`` alone.  ``tokenizer`` is a path, or a name that
     public_tokenizers resolves on the executor.
     """
-    common.small_batches(docs.sparkSession, 1024)
+    common.small_batches(docs.sparkSession)
 
     def run(batches):
         import public_tokenizers
