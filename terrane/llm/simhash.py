@@ -237,7 +237,8 @@ def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: fl
     Sets of Jaccard similarity s and equal size have a cosine of 2s / (1 + s), and differ in the share of bits that their
     angle has of a half turn; two per cent are added for the spread of such a count.  Blocks of bits are as wide as keeps
     buckets near 64 rows, and as many as find a pair at the threshold with ``recall``.  A bucket of more than ``part`` rows
-    (one large group of copies, which hang together many times over) is dealt into parts, anew for every block.
+    is dealt into parts, and every two of them meet, so that each pair of the bucket is compared (in the order of the square
+    of its rows, over many tasks).
     """
     n, wide = reps.count(), reps.select(F.max(F.length("fp"))).first()[0] or 8
     bits = 8 * wide
@@ -264,6 +265,7 @@ def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: fl
             fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, bits // 64)
             rep = t.column("rep").to_numpy()
             group = np.repeat(np.arange(len(tables)), [len(x) for x in tables])
+            own, alone = t.column("own").to_numpy(), (t.column("low").to_numpy() == t.column("high").to_numpy())
             table = np.stack([np.bitwise_count(fp ^ r).sum(axis=1, dtype=np.int32) for r in ref], axis=1)
             sets = common.Sets(len(fp))
             label, i, k = sets.labels(), np.arange(len(fp)), 0
@@ -274,6 +276,7 @@ def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: fl
                 if not len(i):
                     break
                 a = i[label[i] != label[i + k]]
+                a = a[alone[a] | (own[a] != own[a + k])]  # pairs of one part meet where it is alone
                 a = a[(np.abs(table[a] - table[a + k]) <= most).all(axis=1)]
                 a = a[np.bitwise_count(fp[a] ^ fp[a + k]).sum(axis=1, dtype=np.int32) <= most]
                 if len(a):
@@ -282,7 +285,7 @@ def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: fl
             linked = label != np.arange(len(fp))
             return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["u", "v"])
 
-        for t in common.runs(batches, 3):
+        for t in common.runs(batches, 4):
             if t.num_rows > 1:
                 held.append(t)
                 rows += t.num_rows
@@ -296,8 +299,10 @@ def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: fl
     large = common.cut(dealt.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > part), "simhash-large")
     dealt = dealt.join(large, ["block", "key"], "left")
     parts = F.when(F.col("n").isNull(), 1).otherwise(F.ceil(F.col("n") / part)).cast("int")
-    dealt = dealt.select("block", "key", F.pmod(F.xxhash64("rep", "block"), parts).cast("int").alias("part"), "fp", "rep")
-    return dealt.repartition("block", "key", "part").sortWithinPartitions("block", "key", "part").mapInArrow(compare, "u long, v long")
+    dealt = dealt.select("block", "key", F.pmod(F.xxhash64("rep", "block"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "fp", "rep")
+    dealt = dealt.select("block", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", "rep")
+    keys = ["block", "key", "low", "high"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 16, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

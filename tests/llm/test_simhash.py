@@ -92,6 +92,18 @@ def test_near_copies_of_a_similarity(spark, part):
     assert all(of[a] % 100 == a % 100 for a in text)
 
 
+def test_dealt_buckets_lose_no_pair(spark):
+    """Single near pairs inside one large cluster whose members are below the threshold to each other."""
+    rng = np.random.default_rng(3)
+    free = np.arange(1024) >= 288  # all blocks lie before these bits, so that every bucket holds the whole cluster
+    cluster = (rng.random(1024) < 0.5) ^ (free & (rng.random((300, 1024)) < 0.28))
+    copies = cluster[:40] ^ (free & (rng.random((40, 1024)) < 0.1))
+    rows = [(bytearray(np.packbits(x, bitorder="little").tobytes()), i) for i, x in enumerate(np.concatenate([cluster, copies]))]
+    fps = spark.createDataFrame(rows, "fp binary, rep long")
+    whole, dealt = ({r["node"]: r["component"] for r in common.connected_components(simhash.near_links(fps, 0.8, part=part)).collect()} for part in (2048, 20))
+    assert dealt == whole and all(whole.get(i) == whole.get(300 + i) == i for i in range(40))
+
+
 def test_near_copies_of_awkward_rows(spark):
     by = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(data.frame(spark, data.awkward(), True)).collect()}
     assert by[8] == by[7] == 7 and by[1] == by[2] == by[3] == 1 and by[4] == by[5] == by[6] == 4 and by[9] == 9
