@@ -16,23 +16,12 @@ from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 
-_SOURCES = [Path(__file__).with_name(f"{name}.java") for name in ("Kernels", "Merge")]
-
-#: letter of a signature → DDL type that Catalyst sees ("g" is a geometry: EWKB outside, an object inside)
-DDL = {
-    "s": "string",
-    "w": "binary",
-    "d": "double",
-    "i": "int",
-    "b": "boolean",
-    "a": "array<binary>",
-    "p": "struct<x:double,y:double>",
-    "l": "array<struct<x:double,y:double>>",
-    "r": "array<array<struct<x:double,y:double>>>",
-    "m": "array<array<array<struct<x:double,y:double>>>>",
-    "k": "array<struct<idx:bigint,distance:double>>",
-    "e": "struct<xmin:double,ymin:double,xmax:double,ymax:double>",
-}
+_SOURCES = [Path(__file__).with_name(f"{name}.java") for name in ("Kernels", "Merge", "SpatialJoins", "Build")]
+#: Estimated bytes up to which the smaller side of a spatial join or a nearest-neighbour join becomes an index that tasks share;
+#: the session's setting terrane.index.bytes comes first.
+SMALL = 8 << 20
+#: Estimated bytes up to which the side that looks up is first dealt over all cores: such a table may lie in one row group.
+DEALT = 64 << 20
 
 
 class Bridge:
@@ -43,13 +32,10 @@ class Bridge:
         jar = self._jar()
         spark._jsparkSession.sessionState().resourceLoader().addJar(jar)
         self.loader = spark._jsparkSession.sharedState().jarClassLoader()
-        self.kernels = self.loader.loadClass("terrane.Kernels")
+        self.build = self.loader.loadClass("terrane.Build").getConstructors()[0].newInstance(self._array())
         self.merges: dict[bool, object] = {}
-        geometry = self.jvm.java.lang.Class.forName("org.locationtech.jts.geom.Geometry")
-        self.geometry = self.jvm.org.apache.spark.sql.types.ObjectType(geometry)
+        self.rule = None
         self.exprs = self.jvm.org.apache.spark.sql.catalyst.expressions
-        self.utils = self.jvm.org.apache.spark.sql.classic.ExpressionUtils
-        self.types: dict[str, object] = {}
 
     def _jar(self) -> str:
         sources = [p.read_text() for p in _SOURCES]
@@ -60,6 +46,7 @@ class Bridge:
             for source in sources:
                 compiler = self.jvm.org.codehaus.janino.SimpleCompiler()
                 compiler.setParentClassLoader(parent)
+                compiler.setTargetVersion(8)
                 compiler.cook(source)
                 code = compiler.getBytecodes()
                 for name in code.keySet():
@@ -67,6 +54,26 @@ class Bridge:
                 parent = compiler.getClassLoader()  # later sources see earlier ones
         return path
 
+    def install(self, spark: SparkSession) -> None:
+        """Give a session the optimizer rule that plans joins on spatial predicates (SQL's as well)."""
+        if getattr(spark, "_terrane_rule", False):
+            return
+        held = spark._jsparkSession.experimental()
+        rules = list(self.jvm.scala.jdk.javaapi.CollectionConverters.asJava(held.extraOptimizations()))
+        if not any(r.getClass().getName() == "terrane.SpatialJoins" for r in rules):
+            if self.rule is None:
+                self.rule = self.loader.loadClass("terrane.SpatialJoins").getConstructors()[0].newInstance(self._array(SMALL, DEALT, spark.sparkContext.defaultParallelism))
+            getattr(held, "extraOptimizations_$eq")(self.seq([*rules, self.rule]))
+        spark._terrane_rule = True
+
+    def estimate(self, df) -> int:
+        """The optimizer's estimate of a table's bytes."""
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+    def small(self, df) -> bool:
+        """Whether a table is small enough to be indexed."""
+        return self.estimate(df) <= int(df.sparkSession.conf.get("terrane.index.bytes", str(SMALL)))
+
     def merger(self, hull: bool):
         """Aggregate function: hull or union of a group, merged before and after the shuffle."""
         if hull not in self.merges:
@@ -79,52 +86,28 @@ class Bridge:
         columns[0] = column._jc
         return Column(self.merger(hull).apply(columns))
 
-    def _array(self, value):
-        array = self.spark.sparkContext._gateway.new_array(self.jvm.java.lang.Object, 1)
-        array[0] = value
+    def _array(self, *values):
+        array = self.spark.sparkContext._gateway.new_array(self.jvm.java.lang.Object, len(values))
+        for i, v in enumerate(values):
+            array[i] = v
         return array
 
-    def type(self, kind: str):
-        if kind == "g":
-            return self.geometry
-        if kind not in self.types:
-            self.types[kind] = self.jvm.org.apache.spark.sql.types.DataType.fromDDL(DDL[kind])
-        return self.types[kind]
-
     def seq(self, items: list):
         held = self.jvm.java.util.ArrayList()
         for x in items:
             held.add(x)
         return self.jvm.scala.jdk.javaapi.CollectionConverters.asScala(held).toSeq()
 
-    def static(self, name: str, kind: str, args: list):
-        call = self.exprs.objects.StaticInvoke
-        return call(self.kernels, self.type(kind), name, self.seq(args), self.seq([]), True, True, True, self.jvm.scala.Option.empty())
-
-    def geometry_of(self, expression):
-        """The geometry object of a stored one; a call that just turned an object into bytes gives its object back."""
-        while expression.getClass().getSimpleName() == "Alias":
-            expression = expression.child()
-        if expression.getClass().getSimpleName() == "StaticInvoke" and expression.functionName() == "write":
-            return expression.arguments().head()
-        return self.static("read", "g", [self.cast(expression, "w")])
-
-    def cast(self, expression, kind: str):
-        return self.exprs.Cast(expression, self.type(kind), self.jvm.scala.Option.empty(), self.exprs.EvalMode.fromBoolean(True))
-
     def call(self, kernel: str, kinds: str, out: str, args: list):
         """Expression of a kernel over argument expressions."""
-        ready = [self.geometry_of(a) if k == "g" else self.cast(a, k) for a, k in zip(args, kinds)]
-        made = self.static(kernel, out, ready)
-        return self.static("write", "w", [made]) if out == "g" else made
+        held = self.jvm.java.util.ArrayList()
+        for a in args:
+            held.add(a)
+        return self.build.call(kernel, kinds, out, held)
 
     def column(self, kernel: str, kinds: str, out: str, args: list[Column], name: str | None = None) -> Column:
-        """The call as a column, which remembers its expression for calls around it."""
-        expression = self.call(kernel, kinds, out, [c.__dict__.get("_terrane") or self.utils.expression(c._jc) for c in args])
-        column = Column(self.utils.column(expression))
-        column = column.alias(name) if name else column
-        column.__dict__["_terrane"] = expression
-        return column
+        """The call as a column; calls around it take its expression as it is."""
+        return Column(self.build.column(kernel, kinds, out, name or "", *(c._jc for c in args)))
 
 
 def bridge(spark: SparkSession | None = None) -> Bridge:
@@ -135,4 +118,5 @@ def bridge(spark: SparkSession | None = None) -> Bridge:
     held = getattr(spark.sparkContext, "_terrane_bridge", None)
     if held is None or held.spark._jsparkSession is None:
         held = spark.sparkContext._terrane_bridge = Bridge(spark)
+    held.install(spark)
     return held

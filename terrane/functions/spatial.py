@@ -6,12 +6,12 @@ a null query); arguments of the wrong geometry type, indices out of range and ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.jvm import bridge
 
-#: name → (kinds of the arguments, kind of the result); see jvm.DDL
+#: name → (kinds of the arguments, kind of the result); the letters are in Build.java
 SIGNATURES: dict[str, tuple[str, str]] = {
     # text, bytes and nested arrays
     "st_geomfromtext": ("s", "g"), "st_geomfromwkb": ("g", "g"), "st_geomfromgeojson": ("s", "g"), "st_astext": ("g", "s"), "st_asewkt": ("g", "s"),
@@ -47,7 +47,7 @@ SIGNATURES: dict[str, tuple[str, str]] = {
 }
 VERSION = "3.12.0"
 
-_INTERNAL = {"bounds": ("g", "e"), "st_makebox": ("dddd", "g"), "collect_array": ("a", "g"), "makeline_array": ("a", "g"), "stored": ("swwd", "b")}
+_INTERNAL = {"bounds": ("g", "e"), "st_makebox": ("dddd", "g"), "collect_array": ("a", "g"), "makeline_array": ("a", "g"), "stored": ("swwd", "b"), "nearest": ("gnii", "k")}
 
 
 def _column(x) -> Column:
@@ -110,15 +110,6 @@ def box(xmin, ymin, xmax, ymax) -> Column:
     return kernel("st_makebox", xmin, ymin, xmax, ymax)
 
 
-def constants(one: DataFrame) -> list[Column]:
-    """The columns of a table of one row as constants of the plan; for values whose size was checked."""
-    b = bridge()
-    row = one._jdf.head()
-    literal = b.jvm.org.apache.spark.sql.catalyst.expressions.Literal
-    types = [f.dataType() for f in one._jdf.schema().fields()]
-    return [Column(b.utils.column(literal.create(row.get(i), t))) for i, t in enumerate(types)]
-
-
 # ---- aggregates
 
 
@@ -178,6 +169,7 @@ class _Builder:
 def register(spark: SparkSession) -> list[str]:
     """Register all functions and aggregates under their SQL names for this session; gives the names.
 
+    Joins on spatial predicates in SQL text are then planned like :func:`terrane.operators.spatial_join`.
     Spark's own functions of the same names (st_geomfromwkb, st_srid, st_setsrid) are hidden by them in this session.
     """
     from pyspark.java_gateway import ensure_callback_server_started
@@ -198,7 +190,7 @@ def register(spark: SparkSession) -> list[str]:
     exprs = jvm.org.apache.spark.sql.catalyst.expressions
 
     def knn(args):
-        nothing = b.cast(exprs.CreateArray(b.seq([]), False), "k")
+        nothing = b.build.cast(exprs.CreateArray(b.seq([]), False), "k")
         return exprs.If(exprs.IsNull(args[0]), nothing, b.call("st_knn", *SIGNATURES["st_knn"], args))
 
     put("st_knn", knn, 3)
@@ -215,15 +207,15 @@ def register(spark: SparkSession) -> list[str]:
 
     def extent(args):
         field = jvm.org.apache.spark.sql.catalyst.expressions.GetStructField
-        e = b.static("bounds", "e", [b.geometry_of(args[0])])
+        e = b.call("bounds", "g", "e", [args[0]])
         pick = lambda i, f: f(field(e, i, jvm.scala.Option.empty())).toAggregateExpression()
         sides = [pick(0, aggregate.Min), pick(1, aggregate.Min), pick(2, aggregate.Max), pick(3, aggregate.Max)]
         return b.call("st_makebox", "dddd", "g", sides)
 
     put("st_extent_agg", extent, 1)
     literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal
-    put("geos_version", lambda args: literal.create(VERSION, b.type("s")), 0)
-    put("geos_bench_noop", lambda args: literal.create(True, b.type("b")))
-    put("geos_bench_noop_rb", lambda args: literal.create(True, b.type("b")))
+    put("geos_version", lambda args: literal.create(VERSION, b.build.type("s")), 0)
+    put("geos_bench_noop", lambda args: literal.create(True, b.build.type("b")))
+    put("geos_bench_noop_rb", lambda args: literal.create(True, b.build.type("b")))
     put("geos_bench_intersects_nobbox", lambda args: b.call("st_intersects", "gg", "b", args), 2)
     return [*SIGNATURES, *AGGREGATES, *MERGED, "st_extent_agg", "geos_version", "geos_bench_noop", "geos_bench_noop_rb", "geos_bench_intersects_nobbox"]

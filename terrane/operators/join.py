@@ -1,11 +1,15 @@
-"""Spatial joins as equi-joins on cells of a hierarchical grid, and nearest neighbours.
+"""Spatial joins and nearest neighbours.
+
+A spatial join is an ordinary join on a spatial predicate, in SQL or here; the optimizer rule of ``SpatialJoins.java`` plans it.
+A side whose estimated size is under ``SMALL`` becomes a tree of boxes that the tasks of a machine share, and the other side
+looks its matches up, without a shuffle.  Otherwise the join becomes an equi-join on cells of a hierarchical grid:
 
 Every geometry has a level: the smallest cell size (a power of four) not under the longer side of its box.  At its own level or
 a coarser one it touches at most four cells.  A pair meets at the coarser of its two levels, in the cell of the lower left
 corner of the boxes' intersection, hence once; so there are no duplicates to remove, no cell size to tune, and no giant that
 covers thousands of cells.  The key also says which of the two is at home on the level, so that small geometries never meet
-each other in the large cells where they look for giants.  The join is an ordinary equi-join: Spark shuffles it, broadcasts a side whose size it knows to be
-small, and splits skewed cells.  After it come the test of boxes, the caller's own condition, and the exact predicate.
+each other in the large cells where they look for giants.  Which levels a side lives on is a subquery of the same query.  Spark
+shuffles this join, and splits skewed cells.  After it come the test of boxes, the caller's own condition, and the exact predicate.
 """
 
 from __future__ import annotations
@@ -17,51 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import spatial as S
+from terrane.functions.jvm import DEALT, bridge
 
 PREDICATES = ("intersects", "contains", "within", "covers", "coveredby", "containsproperly", "overlaps", "crosses", "touches", "equals", "dwithin", "bbox")
-#: Levels are even powers of two in this range: fine enough for points, and cell numbers of any map projection fit a long.
-LOWEST, HIGHEST = -30, 60
-
-
-def _level(size: Column) -> Column:
-    exact = F.ceil(F.log2(F.when(size > 0, size)) / 2) * 2
-    return F.greatest(F.least(F.coalesce(exact, F.lit(LOWEST)), F.lit(HIGHEST)), F.lit(LOWEST)).cast("int")
-
-
-def _boxed(df: DataFrame, geometry: str, side: str, distance: Column | None) -> DataFrame:
-    """Adds the box of the geometry, grown by ``distance``, and its level; rows without a box go."""
-    e, d = f"_{side}e", F.lit(0.0) if distance is None else distance.cast("double")
-    df = df.withColumn(e, S.bounds(F.col(geometry))).where(F.col(e).isNotNull())
-    df = df.withColumns({f"_{side}x0": F.col(e)["xmin"] - d, f"_{side}y0": F.col(e)["ymin"] - d, f"_{side}x1": F.col(e)["xmax"] + d, f"_{side}y1": F.col(e)["ymax"] + d}).drop(e)
-    return df.withColumn(f"_{side}l", _level(F.greatest(F.col(f"_{side}x1") - F.col(f"_{side}x0"), F.col(f"_{side}y1") - F.col(f"_{side}y0"))))
-
-
-def _levels(df: DataFrame, side: str) -> set[int]:
-    return set(df.agg(F.collect_set(f"_{side}l").alias("l")).first()["l"])
-
-
-def _cell(value: Column, level: Column) -> Column:
-    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
-
-
-def _dealt(df: DataFrame, side: str, others: set[int]) -> DataFrame:
-    """A row for each cell that the box touches at its own level and at those above that the other side lives on, with the
-    part it plays there: 0 both at home, 1 only the left one, 2 only the right one."""
-    own = F.col(f"_{side}l")
-    home, guest = ([0, 1], 2) if side == "a" else ([0, 2], 1)
-    places = [F.array(*(F.struct(own.alias("l"), F.lit(r).alias("r")) for r in home))]
-    if others:
-        above = F.array(*(F.struct(F.lit(v).alias("l"), F.lit(guest).alias("r")) for v in sorted(others)))
-        places.append(F.filter(above, lambda p: p["l"] > own))
-    df = df.withColumn("_p", F.explode(F.concat(*places))).withColumns({"_l": F.col("_p")["l"], "_r": F.col("_p")["r"]}).drop("_p")
-    span = lambda a, b: F.sequence(_cell(F.col(f"_{side}{a}"), F.col("_l")), _cell(F.col(f"_{side}{b}"), F.col("_l")))
-    return df.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
-
-
-def _point_level(distance: float) -> int:
-    """Level of a point grown by ``distance``, with room for rounding."""
-    distance *= 1 + 1e-6
-    return LOWEST if distance <= 0 else max(LOWEST, min(HIGHEST, math.ceil(math.log2(2 * distance) / 2) * 2))
 
 
 def spatial_join(
@@ -74,59 +36,41 @@ def spatial_join(
     distance: float | Column | None = None,
     residual: Callable[[], Column] | Column | None = None,
     left_key: list[str] | None = None,
-    points: bool = False,
 ) -> DataFrame:
     """Pairs of rows whose geometries satisfy ``predicate`` (left to right, as in st_within(left, right)).
 
-    ``how``: inner, left, left_semi or left_anti; all but inner need ``left_key``, columns that identify a row of ``left``.
-    ``distance`` (for dwithin) is a number or a column of ``left``.  ``residual`` is a further condition over both sides'
-    columns, tested before the exact predicate.  ``points`` says that ``left`` holds points only, which saves the pass that
-    looks for its levels (a larger geometry then raises an error).  ``left`` may be a stream of points; each of its batches
-    is joined with ``right`` as it was when the query was made.  Columns that both sides have get the suffix ``_right`` on
-    the right.  Null and empty geometries match nothing.  st_disjoint is no join predicate: its matches do not touch.
+    ``how``: inner, left, left_semi or left_anti; all but inner need ``left_key``, columns that identify a row of ``left``,
+    where ``right`` is no small table or there is a residual.  ``distance`` (for dwithin) is a number or a column of ``left``.
+    ``residual`` is a further condition over both sides' columns.  ``left`` may be a stream; each of its batches is joined
+    with ``right`` as it was when the query was made.  Columns that both sides have get the suffix ``_right`` on the right.
+    Null and empty geometries match nothing.  st_disjoint is no join predicate: its matches do not touch.
     """
     if predicate not in PREDICATES:
         raise ValueError(f"no join predicate {predicate!r}; there are {', '.join(PREDICATES)}")
     if (predicate == "dwithin") != (distance is not None):
         raise ValueError("dwithin, and only it, takes a distance")
-    if how != "inner":
-        return _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key, points)
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"no spatial join {how!r}")
+    b = bridge(left.sparkSession)
+    if how != "inner" and (residual is not None or not b.small(right)):
+        return _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key)
     for c in right.columns:
         if c in left.columns:
             right = right.withColumnRenamed(c, f"{c}_right")
             right_geometry = f"{c}_right" if c == right_geometry else right_geometry
-    d = None if distance is None else distance if isinstance(distance, Column) else F.lit(float(distance))
-    names = [*left.columns, *right.columns]
-    if d is not None:
-        left = left.withColumn("_d", d.cast("double"))
-    a, b = _boxed(left, left_geometry, "a", None if d is None else F.col("_d")), _boxed(right, right_geometry, "b", None)
-    if left.isStreaming or points and not isinstance(distance, Column):
-        if isinstance(distance, Column):
-            raise ValueError("a stream takes one distance for all rows")
-        level = _point_level(distance or 0.0)
-        larger = F.raise_error(F.lit("the left side of a join of points holds a larger geometry"))
-        a, mine = a.withColumn("_al", F.when(F.col("_al") <= level, F.lit(level)).otherwise(larger.cast("int"))), {level}
-    else:
-        mine = _levels(a, "a")
-    pairs = _dealt(a, "a", _levels(b, "b")).join(_dealt(b, "b", mine), ["_l", "_r", "_cx", "_cy"])
-    x, y = F.greatest("_ax0", "_bx0"), F.greatest("_ay0", "_by0")
-    pairs = pairs.where((x <= F.least("_ax1", "_bx1")) & (y <= F.least("_ay1", "_by1")))
-    pairs = pairs.where((_cell(x, F.col("_l")) == F.col("_cx")) & (_cell(y, F.col("_l")) == F.col("_cy")))
+    reach = [] if distance is None else [distance if isinstance(distance, Column) else float(distance)]
+    on = S.kernel("st_intersects_extent" if predicate == "bbox" else f"st_{predicate}", F.col(left_geometry), F.col(right_geometry), *reach)
     if residual is not None:
-        pairs = pairs.where(residual() if callable(residual) else residual)
-    exact = S.kernel("stored", predicate, F.col(left_geometry), F.col(right_geometry), F.lit(0.0) if d is None else F.col("_d"))
-    return pairs.where(exact).select(*names)
+        on = on & (residual() if callable(residual) else residual)
+    return left.join(right, on, how)
 
 
-def _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key, points) -> DataFrame:
-    if how not in ("left", "left_semi", "left_anti"):
-        raise ValueError(f"no spatial join {how!r}")
+def _outer(left, right, left_geometry, right_geometry, predicate, how, distance, residual, left_key) -> DataFrame:
     if not left_key:
-        raise ValueError(f"a {how} spatial join needs left_key")
+        raise ValueError(f"a {how} spatial join with a large table or a residual needs left_key")
+    matched = spatial_join(left, right, left_geometry, right_geometry, predicate, "inner", distance, residual)
     if how != "left":
-        found = spatial_join(left, right, left_geometry, right_geometry, predicate, "inner", distance, residual, points=points)
-        return left.join(found.select(*left_key), left_key, how)
-    matched = spatial_join(left, right, left_geometry, right_geometry, predicate, "inner", distance, residual, points=points)
+        return left.join(matched.select(*left_key), left_key, how)
     rest = matched.columns[len(left.columns) :]
     keys = [f"_k{i}" for i in range(len(left_key))]
     matched = matched.select(*(F.col(k).alias(n) for k, n in zip(left_key, keys)), *rest)
@@ -134,40 +78,46 @@ def _outer(left, right, left_geometry, right_geometry, predicate, how, distance,
     return left.join(matched, on, "left").drop(*keys)
 
 
-#: Up to this many bytes of geometries the right side of a nearest-neighbour join is a constant of the plan.
-SMALL = 4 << 20
-
-
-def knn_join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, left_key: str, right_key: str, k: int, depth: int = 12, small: int = SMALL) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, left_key: str, right_key: str, k: int, depth: int = 12, small: bool | None = None) -> DataFrame:
     """The k rows of ``right`` nearest to each row of ``left``: left_key, right_key, distance, rank (from 1).
 
     Exact; ties go to the smaller right_key.  Null and empty geometries have no neighbours and are none.
 
-    Where all geometries of ``right`` together measure at most ``small`` bytes, they become one constant whose index every
-    task builds once.  Beyond, rows of ``right`` are counted in a quadtree of ``depth`` levels; the smallest cell around a left
-    row that holds k of them bounds the distance of its k-th neighbour, and a distance join with that bound finds all
-    candidates, so that no side has to fit into memory.
+    Where ``right`` is small (by the optimizer's estimate of its size, unless the caller says), it becomes an index that the
+    tasks of a machine share.  Otherwise rows of ``right`` are counted in a quadtree of ``depth`` levels; the smallest cell
+    around a left row that holds k of them bounds the distance of its k-th neighbour, and a distance join with that bound
+    finds all candidates, so that no side has to fit into memory.
     """
-    size = right.agg(F.coalesce(F.sum(F.length(right_geometry) + 24), F.lit(0)).alias("n")).first()["n"]
-    if size <= small:
+    if bridge(left.sparkSession).small(right) if small is None else small:
         return _indexed(left, right, left_geometry, right_geometry, left_key, right_key, k)
     return _quadtree(left, right, left_geometry, right_geometry, left_key, right_key, k, depth)
 
 
 def _indexed(left, right, left_geometry, right_geometry, left_key, right_key, k) -> DataFrame:
-    rows = right.where(F.col(right_geometry).isNotNull()).select(F.col(right_key).alias("k"), F.col(right_geometry).cast("binary").alias("g"))
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("k", "g"))).alias("r")).select(F.col("r.k").alias("k"), F.col("r.g").alias("g"))
-    keys, geometries = S.constants(rows)
-    found = F.explode(S.st_knn(F.col(left_geometry), geometries, k))
-    near = left.select(F.col(left_key), found.alias("_n"))
-    near = near.select(left_key, F.element_at(keys, (F.col("_n")["idx"] + 1).cast("int")).alias(right_key), F.col("_n")["distance"].alias("distance"))
-    w = Window.partitionBy(left_key).orderBy("distance", right_key)
-    return near.withColumn("rank", F.row_number().over(w))
+    g = F.col(right_geometry).cast("binary")
+    rows = right.where(g.isNotNull() & S.bounds(g).isNotNull()).select(F.struct(F.col(right_key).alias("k"), g.alias("g")).alias("r"))
+    rows = rows.agg(F.array_sort(F.collect_list("r")).alias("r"))
+    found = S.kernel("nearest", F.col(left_geometry), rows.scalar(), 1, k)
+    if not left.isStreaming and bridge().estimate(left) <= DEALT:
+        left = left.select(left_key, left_geometry).repartition(left.sparkSession.sparkContext.defaultParallelism, left_geometry)
+    near = left.select(F.col(left_key), F.posexplode(found).alias("_at", "_n"))
+    keys = rows.select(F.transform("r", lambda r: r["k"])).scalar()
+    return near.select(left_key, F.element_at(keys, (F.col("_n")["idx"] + 1).cast("int")).alias(right_key), F.col("_n")["distance"].alias("distance"), (F.col("_at") + 1).alias("rank"))
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _boxed(df: DataFrame, geometry: str, side: str) -> DataFrame:
+    """Adds the box of the geometry; rows without a box go."""
+    df = df.withColumn("_e", S.bounds(F.col(geometry))).where(F.col("_e").isNotNull())
+    return df.withColumns({f"_{side}{n}": F.col("_e")[c] for n, c in (("x0", "xmin"), ("y0", "ymin"), ("x1", "xmax"), ("y1", "ymax"))}).drop("_e")
 
 
 def _quadtree(left, right, left_geometry, right_geometry, left_key, right_key, k, depth) -> DataFrame:
     lg, rg = left.select(F.col(left_key).alias("_lk"), F.col(left_geometry).alias("_lg")), right.select(F.col(right_key).alias("_rk"), F.col(right_geometry).alias("_rg"))
-    r = _boxed(rg, "_rg", "b", None)
+    r = _boxed(rg, "_rg", "b")
     whole = r.agg(F.min("_bx0").alias("x0"), F.min("_by0").alias("y0"), F.max("_bx1").alias("x1"), F.max("_by1").alias("y1")).first()
     if whole["x0"] is None or k <= 0:
         return lg.join(rg.limit(0), F.lit(False)).select(F.col("_lk").alias(left_key), F.col("_rk").alias(right_key), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
@@ -177,7 +127,7 @@ def _quadtree(left, right, left_geometry, right_geometry, left_key, right_key, k
     half = F.sqrt(F.pow(F.col("_bx1") - F.col("_bx0"), 2) + F.pow(F.col("_by1") - F.col("_by0"), 2)) / 2
     cells = r.select(cx.alias("x"), cy.alias("y"), half.alias("half"), F.explode(levels).alias("_l"))
     cells = cells.groupBy("_l", _cell(F.col("x"), F.col("_l")).alias("_cx"), _cell(F.col("y"), F.col("_l")).alias("_cy")).agg(F.count("*").alias("n"), F.max("half").alias("half")).where(F.col("n") >= k)
-    a = _boxed(lg, "_lg", "a", None)
+    a = _boxed(lg, "_lg", "a")
     ax, ay = (F.col("_ax0") + F.col("_ax1")) / 2, (F.col("_ay0") + F.col("_ay1")) / 2
     own = F.sqrt(F.pow(F.col("_ax1") - F.col("_ax0"), 2) + F.pow(F.col("_ay1") - F.col("_ay0"), 2)) / 2
     looks = a.select("_lk", ax.alias("x"), ay.alias("y"), own.alias("own"), F.explode(levels).alias("_l"))

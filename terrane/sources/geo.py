@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import spatial as S
+from terrane.functions.jvm import bridge
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 #: Predicates that need the boxes to meet; st_disjoint is not among them.
@@ -55,17 +56,20 @@ def near_box(xmin: float, ymin: float, xmax: float, ymax: float, distance: float
     return (F.col("xmin") <= xmax + distance) & (F.col("xmax") >= xmin - distance) & (F.col("ymin") <= ymax + distance) & (F.col("ymax") >= ymin - distance)
 
 
-def where_spatial(df: DataFrame, predicate: str, geometry: str, wkt: str, distance: float | None = None) -> DataFrame:
-    """Rows whose geometry satisfies ``predicate`` with a constant; the constant's box prunes where ``df`` has box columns.
+def where_spatial(df: DataFrame, predicate: str, geometry: str, constant: str | DataFrame, distance: float | None = None) -> DataFrame:
+    """Rows whose geometry satisfies ``predicate`` with a constant: WKT, or a table of one row and one geometry column.
 
-    The constant is evaluated once, here, into bytes; large constants are parsed and prepared once a task.
+    WKT is evaluated once, here, into bytes, and its box prunes where ``df`` has box columns.  A table is evaluated when the
+    query runs; without a row, or with a null, nothing satisfies it.  Large constants are parsed and prepared once a task.
     """
     if predicate not in PRUNING:
         raise ValueError(f"{predicate!r} does not prune; use the function")
-    spark = df.sparkSession
-    g = spark.range(1).select(S.st_geomfromtext(wkt).alias("g")).select("g", S.bounds(F.col("g")).alias("e")).first()
-    if g["e"] is None:
+    if isinstance(constant, DataFrame):
+        return df.where(S.kernel("stored", predicate, F.col(geometry), constant.scalar(), float(distance or 0.0)))
+    build = bridge(df.sparkSession).build
+    box = build.box(constant)
+    if box is None:
         return df.where(F.lit(False))
     if set(BOX) <= set(df.columns):
-        df = df.where(near_box(*g["e"], distance or 0.0))
-    return df.where(S.kernel("stored", predicate, F.col(geometry), F.lit(bytes(g["g"])), float(distance or 0.0)))
+        df = df.where(near_box(*map(float, box.split()), distance or 0.0))
+    return df.where(S.kernel("stored", predicate, F.col(geometry), F.lit(bytes(build.geometry(constant))), float(distance or 0.0)))
