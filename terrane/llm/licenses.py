@@ -1,14 +1,17 @@
 """Licence scans by a trained paragraph classifier; DataFrame operations only on the data.
 
-Paragraphs are told apart by a multinomial logistic regression over sparse word n-grams (1 to 3 words).  It is trained on the
-driver from altered copies of notice texts against a bounded sample of the corpus's own paragraphs and of sentences about
-licences that grant none; those two are the class ``unknown``.  A temperature fitted on held-out copies calibrates the
-probabilities.  A family is reported only where its probability reaches the threshold and the paragraph, compared with the
-family's notice texts, contains enough of one; a paragraph that is about a licence but is not confirmed is ``unknown``.
+Paragraphs (lines, with the words around them that a wrapped notice may have there) are told apart by a multinomial logistic
+regression over sparse word n-grams (1 to 3 words).  It is trained on the driver from altered copies of notice texts against a
+bounded sample of the corpus's own paragraphs, without those that overlap a notice, and of sentences about licences that grant
+none; those two are the class ``unknown``.  A temperature, fitted on notices that the model in question was not trained on,
+calibrates the probabilities.  A family is reported only where its probability reaches the threshold and the paragraph,
+compared with the family's notice texts, contains enough of one; a paragraph that is about a licence but is not confirmed is
+``unknown``.
 
 On the data, n-grams look up their row of weights by hashing into a folded literal array that has no collision among known
-n-grams.  Only paragraphs that hold an anchor are scored: anchors are words of the notice texts, none of them in the
-corpus sample, chosen so that every notice text has one.
+n-grams.  Only paragraphs that hold an anchor are scored.  Anchors are words chosen from the notices, the rarest in the sample
+first, until the n-grams of each notice that hold none of them are fewer than the overlap asks for: what holds no anchor
+could not be confirmed, whatever the sample was.
 """
 
 from __future__ import annotations
@@ -98,52 +101,75 @@ def grams(w: list[str]) -> list[str]:
 def _altered(w: list[str], filler: list[str], rng: random.Random) -> list[str]:
     """A copy with some words lost, within some ordinary words."""
     kept = [x for x in w if rng.random() > 0.08] or w
-    around = [rng.choice(filler) for _ in range(rng.choice((0, 0, 4, 12)))] if filler else []
+    around = [rng.choice(filler) for _ in range(rng.choice((0, 0, 4, 12, 30, 60)))] if filler else []
     cut = rng.randint(0, len(around))
     return around[:cut] + kept + around[cut:]
 
 
+def share(found: set[str], notice: set[str]) -> float:
+    """How much of a notice's n-grams a paragraph holds."""
+    return len(found & notice) / len(notice)
+
+
+def anchors(notices: list[set[str]], known: Counter, overlap: float) -> list[str]:
+    """Words such that of each notice's n-grams less than ``overlap`` hold none of them; words rare in ``known`` come first."""
+    chosen: set[str] = set()
+    free = [{g: set(g.split()) for g in n} for n in notices]
+    while True:
+        open_ = [f for f, n in zip(free, notices) if len(f) >= overlap * len(n)]
+        if not open_:
+            return sorted(chosen)
+        gain = Counter(x for f in open_ for own in f.values() for x in own)
+        best = min(gain, key=lambda x: (-gain[x] / (known[x] + 0.5), x))
+        chosen.add(best)
+        free = [{g: own for g, own in f.items() if best not in own} for f in free]
+
+
 class Model:
-    """Classes, n-gram weights and anchors; ``fit`` is all that runs outside Spark, on bounded samples."""
+    """Classes, n-gram weights and anchors; all that is fitted outside Spark, on bounded samples."""
 
-    def __init__(self, ordinary: list[str], copies: int = 24, seed: int = 5, steps: int = 250):
+    def __init__(self, ordinary: list[str], overlap: float = 0.5, copies: int = 12, folds: int = 4, seed: int = 5):
         rng = random.Random(seed)
         self.classes = [UNKNOWN, *NOTICES]
+        sure = [(c, k, words(t)) for c, texts in enumerate(NOTICES.values(), 1) for k, t in enumerate(texts)]
+        notices = [set(grams(w)) for _, _, w in sure]
+        self.vocabulary = sorted(set().union(*notices))
         plain = [w for p in ordinary if (w := words(p))]
-        filler = [x for w in plain for x in w[:50]]
-        known = {x for w in plain for x in w}
-        sure = [(c, words(t)) for c, texts in enumerate(NOTICES.values(), 1) for t in texts]
-        self.vocabulary = sorted({g for _, w in sure for g in grams(w)})
-        rows = [(c, _altered(w, filler, rng)) for c, w in sure for _ in range(copies)]
-        rows += [(0, _altered(words(t), filler, rng)) for t in OTHERS for _ in range(copies)]
-        rows += [(0, w) for w in plain[:1500]]
-        rng.shuffle(rows)
-        cut = len(rows) * 4 // 5
+        # a paragraph that holds a good part of a notice is no example of an ordinary one
+        plain = [w for w in plain if (g := set(grams(w))) and max(share(g, n) for n in notices) < overlap / 2]
+        filler = [x for w in plain for x in w]
+        rows = [(c, k % folds, _altered(w, filler, rng)) for c, k, w in sure for _ in range(copies)]
+        rows += [(0, k % folds, _altered(words(t), filler, rng)) for k, t in enumerate(OTHERS) for _ in range(copies)]
+        rows += [(0, k % folds, w) for k, w in enumerate(plain)]
         at = {g: k for k, g in enumerate(self.vocabulary)}
         x = np.zeros((len(rows), len(at) + 1), np.float32)
         x[:, -1] = 1
-        for k, (_, w) in enumerate(rows):
-            for g in grams(w):
-                if g in at:
-                    x[k, at[g]] = 1
-        y = np.eye(len(self.classes), dtype=np.float32)[[c for c, _ in rows]]
-        weights, speed = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros((x.shape[1], y.shape[1]), np.float32)
-        for _ in range(steps):  # gradient descent with momentum
-            gradient = x[:cut].T @ (_softmax(x[:cut] @ weights) - y[:cut]) / cut + 2e-4 * weights
-            speed = 0.9 * speed - 0.5 * gradient
-            weights += speed
-        late = x[cut:] @ weights
-        loss = lambda t: -float((np.log(_softmax(late / t) + 1e-9) * y[cut:]).sum())
-        self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=loss)
-        self.weights = weights / self.temperature
-        self.anchors, open_ = [], [w for _, w in sure]
-        while open_:
-            count = Counter(x for w in open_ for x in set(w) if x not in known and len(x) > 2)
-            if not count:
-                break
-            best = min(count, key=lambda x: (-count[x], x))
-            self.anchors.append(best)
-            open_ = [w for w in open_ if best not in w]
+        for k, (_, _, w) in enumerate(rows):
+            x[k, [at[g] for g in grams(w) if g in at]] = 1
+        y = np.eye(len(self.classes), dtype=np.float32)[[c for c, _, _ in rows]]
+        fold = np.array([f for _, f, _ in rows])
+        # what a notice's own fold says of it, its texts being left out, shows how sure the model may be
+        late = np.concatenate([x[fold == f] @ _fitted(x[fold != f], y[fold != f]) for f in range(folds)])
+        truth = np.concatenate([y[fold == f] for f in range(folds)])
+        loss = lambda t: -float((np.log(_softmax(late / t) + 1e-9) * truth).sum())
+        self.temperature = min(np.geomspace(0.25, 4, 33).tolist(), key=loss)
+        self.weights = _fitted(x, y) / self.temperature
+        self.anchors = anchors(notices, Counter(x for w in plain for x in set(w)), overlap)
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = 2e-4) -> np.ndarray:
+    """Weights by gradient descent with momentum; every class weighs the same, and equal rows are one."""
+    both, many = np.unique(np.c_[x, y], axis=0, return_counts=True)
+    x, y = both[:, : x.shape[1]], both[:, x.shape[1] :] * many[:, None]
+    weights, speed = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros((x.shape[1], y.shape[1]), np.float32)
+    size = y.sum(axis=0)
+    y = y / np.maximum(size, 1) / max(1, (size > 0).sum())
+    each = y.sum(axis=1, keepdims=True)
+    for _ in range(steps):
+        gradient = x.T @ (each * _softmax(x @ weights) - y) + decay * weights
+        speed = 0.9 * speed - 0.5 * gradient
+        weights += speed
+    return weights
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -169,46 +195,62 @@ def _index(docs: DataFrame, vocabulary: list[str]) -> tuple[Column, int]:
     return _literal(row, "int"), size
 
 
-def train(docs: DataFrame, max_docs: int = 400) -> Model:
-    """From the notice texts, and the paragraphs of at most ``max_docs`` documents (smallest hashes of doc_id) that name no licence."""
+def train(docs: DataFrame, overlap: float = 0.5, max_docs: int = 400, max_paragraphs: int = 1600) -> Model:
+    """From the notice texts, and at most ``max_paragraphs`` lines (those of the smallest hashes) of at most ``max_docs``
+    documents (the smallest hashes of doc_id), in which lines of notices do not count."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_docs)
     texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    paragraphs = texts.select(F.explode(F.split("t", "[\\r\\n]+")).alias("p")).where("p <> '' and not p rlike '(?i)licen[cs]e|copyright|spdx|creative commons|public domain'")
-    sample = sorted(r["p"] for r in paragraphs.orderBy(F.xxhash64("p"), "p").limit(4 * max_docs).collect())
-    random.Random(1).shuffle(sample)
-    return Model(sample)
+    lines = texts.select(F.explode(F.split("t", "[\\r\\n]+")).alias("p")).where("p <> ''")
+    return Model(sorted(r["p"] for r in lines.orderBy(F.xxhash64("p"), "p").limit(max_paragraphs).collect()), overlap)
+
+
+#: A paragraph is scored by parts of so many words, each with as many words around it on either side (from its own line, and from
+#: WRAP lines before and after, as notices are wrapped).
+PART, WRAP = 32, 4
 
 
 def scan(docs: DataFrame, threshold: float = 0.5, overlap: float = 0.5, max_docs: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, license (most probable confirmed family, else ``unknown`` where a paragraph is
     about a licence, else null), confidence (its probability), n_paragraphs (paragraphs about a licence) and found (an array of
-    (paragraph from 0, family, probability, overlap) of those).
+    (paragraph from 0, family, probability, overlap) of their parts).
 
-    Paragraphs end at line ends.  Null and empty texts find nothing; ties go to the earlier paragraph; repeated rows come out
+    Paragraphs are lines.  Null and empty texts find nothing; ties go to the earlier paragraph; repeated rows come out
     repeated; null doc_ids stay null; other columns are not read; an empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model = train(docs, max_docs)
+    model = train(docs, overlap, max_docs)
     index, size = _index(docs, model.vocabulary)
     n = len(model.classes)
     flat = _literal([f"{v:.5f}" for v in model.weights[:-1].ravel().tolist()], "double")
     bias = _literal([f"{v:.5f}" for v in model.weights[-1].tolist()], "double")
-    lower = F.lower("text")
-    hit = lambda c: [c.contains(a) for a in model.anchors]
-    either = lambda cs: cs[0] if len(cs) == 1 else F.greatest(*cs)
-    has = either(hit(lower)) if model.anchors else F.lit(True)
-    df = docs.withColumn("_p", F.when(has, F.split("text", "[\\r\\n]+")).otherwise(F.array().cast("array<string>"))).drop("text")
-    numbered = F.transform("_p", lambda p, k: F.struct(k.alias("k"), F.lower(p).alias("p")))
-    df = df.withColumn("_p", F.filter(numbered, lambda s: either(hit(s["p"])) if model.anchors else F.lit(True)))
-
-    def ngrams(p: Column) -> Column:
-        w = F.regexp_extract_all(p, F.lit(_WORD), F.lit(0))
+    hints = F.array(*map(F.lit, model.anchors))
+    # what cannot be told by a whole word may be told by its letters: texts without those are not split at all
+    hint = "(?i)" + "|".join(model.anchors)
+    df = docs.withColumn("_w", F.when(F.col("text").rlike(hint), F.transform(F.split("text", "[\\r\\n]+"), lambda p: F.regexp_extract_all(F.lower(p), F.lit(_WORD), F.lit(0)))))
+    df = df.withColumn("_w", F.coalesce("_w", F.array().cast("array<array<string>>"))).drop("text")
+    lines = F.filter(F.transform("_w", lambda w, k: F.struct(k.alias("k"), w.alias("w"))), lambda s: F.arrays_overlap(s["w"], hints))
+
+    def around(s: Column) -> Column:
+        before = F.flatten(F.slice("_w", F.greatest(s["k"] - WRAP, F.lit(0)) + 1, F.least(s["k"], F.lit(WRAP))))
+        before = F.slice(before, F.greatest(F.size(before) - PART, F.lit(0)) + 1, PART)
+        after = F.slice(F.flatten(F.slice("_w", s["k"] + 2, WRAP)), 1, PART)
+        return F.struct(s["k"].alias("k"), F.size(before).alias("skip"), s["w"].alias("w"), F.concat(before, s["w"], after).alias("all"))
+
+    def parts(s: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), F.floor((F.size(s["w"]) - 1) / PART).cast("int")), lambda j: j * PART)
+        places = F.filter(places, lambda j: F.arrays_overlap(F.slice(s["w"], j + 1, PART), hints))
+        return F.transform(places, lambda j: F.struct(s["k"].alias("k"), F.slice(s["all"], F.greatest(s["skip"] + j - PART, F.lit(0)) + 1, 3 * PART).alias("w")))
+
+    df = df.withColumn("_p", F.transform(lines, around)).drop("_w")
+    df = df.withColumn("_p", F.flatten(F.transform("_p", parts)))
+
+    def ngrams(w: Column) -> Column:
         pair = F.transform(w, lambda x, k: F.concat_ws(" ", x, F.get(w, k + 1)))
         three = F.transform(w, lambda x, k: F.concat_ws(" ", x, F.get(w, k + 1), F.get(w, k + 2)))
         rest = lambda a, n: F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
         return F.array_distinct(F.concat(w, rest(pair, 1), rest(three, 2)))
 
-    df = df.withColumn("_p", F.transform("_p", lambda s: s.withField("g", F.filter(ngrams(s["p"]), lambda g: g.isin(model.vocabulary)))))
+    df = df.withColumn("_p", F.transform("_p", lambda s: s.withField("g", F.filter(ngrams(s["w"]), lambda g: g.isin(model.vocabulary))).dropFields("w")))
     df = df.withColumn("_p", F.transform("_p", lambda s: s.withField("rows", F.transform(s["g"], lambda g: F.element_at(index, (F.pmod(F.xxhash64(g), F.lit(size)) + 1).cast("int"))))))
 
     def scores(rows: Column) -> Column:
@@ -238,7 +280,8 @@ def scan(docs: DataFrame, threshold: float = 0.5, overlap: float = 0.5, max_docs
 
     df = df.withColumn("found", F.transform("_p", confirm))
     ranked = F.array_max(F.transform("found", lambda s: F.struct((s["family"] != UNKNOWN).alias("sure"), s["probability"].alias("p"), (-s["paragraph"]).alias("k"), s["family"].alias("family"))))
-    return df.withColumn("_best", ranked).select("doc_id", F.col("_best")["family"].alias("license"), F.col("_best")["p"].alias("confidence"), F.size("found").cast("long").alias("n_paragraphs"), "found")
+    count = F.size(F.array_distinct(F.transform("found", lambda s: s["paragraph"]))).cast("long")
+    return df.withColumn("_best", ranked).select("doc_id", F.col("_best")["family"].alias("license"), F.col("_best")["p"].alias("confidence"), count.alias("n_paragraphs"), "found")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

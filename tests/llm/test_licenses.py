@@ -51,3 +51,60 @@ def test_corpus_lines(spark):
     for r in licenses.op1_license_scan(spark, f"{DATA}/sf0.01").collect():
         true = next((k for k, v in lines.items() if v in texts[r["doc_id"]]), None)
         assert r["license"] == true
+
+
+VERBATIM = {f: t for f, t in ((f, [x for x in texts if len(licenses.words(x)) > 5]) for f, texts in licenses.NOTICES.items())}
+
+
+def test_anchors_miss_nothing_that_could_be_confirmed():
+    """Whatever the corpus, less than the overlap of a notice's n-grams is free of anchors."""
+    from collections import Counter
+
+    notices = [set(licenses.grams(licenses.words(t))) for texts in licenses.NOTICES.values() for t in texts]
+    everything = Counter({w: 1000 for n in notices for g in n for w in g.split()})
+    for known in (Counter(), everything):
+        chosen = set(licenses.anchors(notices, known, 0.5))
+        assert all(sum(not chosen & set(g.split()) for g in n) < 0.5 * len(n) for n in notices)
+
+
+def test_verbatim_altered_and_wrapped_notices_in_a_corpus_that_is_half_notices(spark):
+    rng = random.Random(4)
+    rows, truth = [], {}
+    for i in range(240):
+        lines = [data.prose(rng, rng.randint(5, 40)) for _ in range(4)]
+        if i % 2:
+            family = rng.choice(list(VERBATIM))
+            w = rng.choice(VERBATIM[family]).split()
+            kind = i // 2 % 3
+            if kind == 1:  # one word in twelve lost
+                w = [x for x in w if rng.random() > 1 / 12]
+            text = " ".join(w) if kind < 2 else "\n".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6))
+            lines.insert(rng.randint(0, 4), text)
+            truth[i] = family
+        rows.append((i, "\n".join(lines), "en", "s", 0))
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(data.frame(spark, rows)).collect()}
+    wrong = {i: (f, got[i]) for i, f in truth.items() if got[i] != f}
+    assert len(wrong) <= 0.03 * len(truth) and all(got[i] is None for i in range(240) if i not in truth), wrong
+
+
+def test_probabilities_are_those_of_the_model(spark):
+    """The data's path agrees with a plain one over the same paragraphs (alone in their documents, of one part)."""
+    import numpy as np
+
+    texts = [t for v in licenses.NOTICES.values() for t in v] + ["Nothing here but the terms of a sale.", "under the stone by the river"]
+    df = data.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    model = licenses.train(df)
+    at = {g: k for k, g in enumerate(model.vocabulary)}
+    for r in licenses.scan(df).collect():
+        found = {g for g in licenses.grams(licenses.words(texts[r["doc_id"]])) if g in at}
+        x = np.zeros(len(at) + 1)
+        x[[at[g] for g in found]] = 1
+        x[-1] = 1
+        p = licenses._softmax((x @ model.weights)[None])[0]
+        top = int(p[1:].argmax()) + 1
+        share = max(licenses.share(found, set(licenses.grams(licenses.words(t)))) for t in licenses.NOTICES[model.classes[top]])
+        family = model.classes[top] if p[top] >= 0.5 and share >= 0.5 else "unknown" if 1 - p[0] >= 0.5 else None
+        if set(licenses.words(texts[r["doc_id"]])) & set(model.anchors):
+            assert r["license"] == family and (family is None or len(licenses.words(texts[r["doc_id"]])) > 32 or abs(r["confidence"] - (p[top] if family != "unknown" else 1 - p[0])) < 2e-3)
+        else:
+            assert r["license"] is None
