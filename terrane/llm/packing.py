@@ -4,7 +4,8 @@ Documents are cut into pieces of at most ``capacity`` tokens.  Only the histogra
 numbers, whatever the corpus) comes to the driver.  There the configuration LP — how many sequences of each multiset of
 lengths cover the histogram — is solved by multiplicative weights: a dynamic program over the knapsack prices lengths and
 gives the configurations of nearly the best value, which are bought a little at a time while the weights of covered lengths
-fall.  Configurations are then rounded to whole sequences, and what is left is packed best-fit decreasing, run by run.
+fall, until every length is covered.  Full configurations are then rounded to whole sequences, and the LP is solved again for
+the pieces that are left, until rounding places few of them; those end in configurations that are not full, or best-fit.
 
 The result is a table of runs (the pieces of length L with ranks r..r+n go to sequences s, s+1, ..), whose size follows
 the number of lengths and not of pieces.  Pieces get their rank among those of the same length from counts of hashed buckets,
@@ -13,6 +14,7 @@ so that a length which a third of all pieces share is dealt over many tasks.
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from functools import cache
@@ -157,80 +159,120 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048, en
 
 
 def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for every capacity, and the length (its index) to take first there, or -1; of equal values the longest."""
+    """Best value for every capacity, and the length to take first there, or -1; ``lengths`` ascend, of equal values the longest."""
+    least, most = int(lengths[0]), int(lengths[-1])
+    dense = np.full(capacity + 1, -1.0)
+    dense[lengths] = price
     best, first = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        n = fits[c]
-        best[c] = best[c - 1]
-        if n:
-            value = best[c - lengths[:n]] + price[:n]
-            k = int(n) - 1 - int(value[::-1].argmax())
-            if value[k] >= best[c]:
-                best[c], first[c] = value[k], k
+    for c in range(least, capacity + 1):
+        n = min(c, most)
+        value = best[c - n : c - least + 1] + dense[least : n + 1][::-1]  # from the longest
+        k = int(value.argmax())
+        if value[k] > best[c - 1]:
+            best[c], first[c] = value[k], n - k
+        else:
+            best[c] = best[c - 1]
     return best, first
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 60, rate: float = 2.0, slack: float = 0.002) -> dict[tuple, float]:
-    """Configurations (sorted lengths) → how often the LP takes each, by multiplicative weights.
+def solve(histogram: dict[int, int], capacity: int, rate: float = 2.0, slack: float = 0.002, power: float = 1.1) -> tuple[dict[tuple, float], float]:
+    """Configurations (lengths, longest first) → how often the LP takes each, by multiplicative weights, until every length
+    is covered; and a lower bound on the number of sequences.
 
-    Lengths start at the price of their size.  Each round prices them by the knapsack and buys every configuration within
-    ``slack`` of the best; a length's price falls by exp(-rate x share of it that is covered).
+    Lengths start at the price of their size to the ``power``, since long ones are harder to place.  Each round prices them by
+    the knapsack and buys every configuration within ``slack`` of the best, a quarter of what is left of its scarcest
+    length; a length's price falls by exp(-rate x share of it that is covered).  A round that covers little widens the slack.
+    The bound is the best value of a dual solution (prices over the price of the dearest configuration) among the rounds.
     """
     lengths = np.array(sorted(k for k in histogram if 0 < k < capacity), np.int64)
     if not len(lengths):
-        return {}
+        return {}, 0.0
     need = np.array([histogram[k] for k in lengths.tolist()], float)
-    covered, taken = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        open_ = covered < need
-        if not open_.any():
-            break
-        index = np.flatnonzero(open_)
+    place = np.full(capacity + 1, -1)
+    place[lengths] = np.arange(len(lengths))
+    covered, taken, bound = np.zeros(len(lengths)), {}, float(need @ lengths) / capacity
+    while len(index := np.flatnonzero(covered < need - 1e-9)):
         short = lengths[index]
-        price = short / capacity * np.exp(-rate * covered[index] / need[index])
+        price = (short / capacity) ** power * np.exp(-rate * covered[index] / need[index])
         best, first = knapsack(short, price, capacity)
-        value = price + best[capacity - short]
-        for k in np.argsort(-value).tolist():
+        bound = max(bound, float(need[index] @ price) / best[capacity])
+        value, before = price + best[capacity - short], covered.sum()
+        for k in np.argsort(-value, kind="stable").tolist():
             if value[k] < (1 - slack) * best[capacity]:
                 break
-            config, left = [k], capacity - int(short[k])
+            config, left = [int(short[k])], capacity - int(short[k])
             while left > 0:
                 if first[left] < 0:
                     left -= 1
                     continue
                 config.append(int(first[left]))
-                left -= int(short[first[left]])
-            own, times = np.unique(index[config], return_counts=True)
+                left -= int(first[left])
+            own, times = np.unique(place[config], return_counts=True)
             step = float(((need[own] - covered[own]) / times).min())
             if step <= 0:
                 continue
             step = max(min(step, 1.0), step / 4)
             covered[own] += step * times
-            key = tuple(sorted(lengths[index[config]].tolist(), reverse=True))
+            key = tuple(sorted(config, reverse=True))
             taken[key] = taken.get(key, 0.0) + step
-    return taken
+        if covered.sum() - before < 0.04 * (need.sum() - before):
+            slack = min(1.0, 1.5 * slack)
+    return taken, bound
 
 
-def rounded(histogram: dict[int, int], taken: dict[tuple, float], capacity: int) -> list[tuple[tuple, int]]:
-    """Whole sequences: (lengths, how many) that hold every piece of the histogram exactly once.
+class Plan:
+    """Whole sequences that hold every piece of a histogram exactly once.
 
-    Full configurations are rounded up as far as there are pieces for them; what others would hold, and the rest, goes
-    best-fit decreasing, which fills sequences at least as well.
+    ``sequences``: (lengths, how many).  ``bound``: no packing has fewer sequences.  ``by_lp``: how many of the sequences are
+    rounded configurations of the LP (with those of one whole piece); the rest completes what rounding left.
     """
-    left, out = dict(histogram), []
-    if left.get(capacity):
-        out.append(((capacity,), left.pop(capacity)))
-    for config, x in sorted(taken.items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
-        if sum(config) < capacity:
-            break
-        times = {k: config.count(k) for k in set(config)}
-        n = min(int(np.ceil(x)), *(left[k] // t for k, t in times.items()))
-        if n > 0:
-            out.append((config, n))
-            for k, t in times.items():
-                left[k] -= n * t
-    return out + best_fit(left, capacity)
+
+    def __init__(self, histogram: dict[int, int], capacity: int, least: float = 0.15):
+        self.sequences: list[tuple[tuple, int]] = []
+        left = {k: n for k, n in histogram.items() if n}
+        whole = left.pop(capacity, 0)
+        if whole:
+            self.sequences.append(((capacity,), whole))
+        bound = None
+        while left:
+            taken, low = solve(left, capacity)
+            bound = low if bound is None else bound
+            done, before = self._take(left, taken, capacity, full=True), sum(left.values())
+            if done > least * (done + before):
+                continue  # what is left is a problem of its own
+            # Completion: the LP's configurations that are not full, or none of them, and then best fit decreasing.
+            ways = []
+            for partly in (True, False):
+                mine, rest = [], dict(left)
+                if partly:
+                    self._take(rest, taken, capacity, full=False, into=mine)
+                ways.append((mine, best_fit(rest, capacity)))
+            mine, rest = min(ways, key=lambda w: sum(n for part in w for _, n in part))
+            self.sequences += mine
+            self.by_lp = sum(n for _, n in self.sequences)
+            self.sequences += rest
+            left = {}
+        if not hasattr(self, "by_lp"):
+            self.by_lp = sum(n for _, n in self.sequences)
+        self.count = sum(n for _, n in self.sequences)
+        self.bound = whole + math.ceil((bound or 0.0) - 1e-6)
+
+    def _take(self, left: dict[int, int], taken: dict[tuple, float], capacity: int, full: bool, into: list | None = None) -> int:
+        """Round configurations to whole sequences as far as there are pieces for them: full ones up, others down."""
+        into, done = self.sequences if into is None else into, 0
+        for config, x in sorted(taken.items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
+            if (sum(config) == capacity) != full:
+                continue
+            times = {k: config.count(k) for k in set(config)}
+            n = min(math.ceil(x) if full else math.floor(x), *(left.get(k, 0) // t for k, t in times.items()))
+            if n > 0:
+                into.append((config, n))
+                done += n * len(config)
+                for k, t in times.items():
+                    left[k] -= n * t
+                    if not left[k]:
+                        del left[k]
+        return done
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
@@ -269,7 +311,7 @@ def runs(sequences: list[tuple[tuple, int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 60) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """Pieces with sequence_id and offset.  ``cut`` must be a stored table: it is read three times.
 
     Pieces that tie (repeated rows too) are all packed, in any order among themselves; no piece gives no sequence.
@@ -278,7 +320,7 @@ def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 60) -> DataFrame:
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if not histogram:
         return cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    place = spark.sparkContext.broadcast(runs(rounded(histogram, solve(histogram, capacity, rounds), capacity)))
+    place = spark.sparkContext.broadcast(runs(Plan(histogram, capacity).sequences))
     buckets = min(4096, -(-max(histogram.values()) // 200))
     dealt = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "_b").agg(F.count("*").alias("_n"))
@@ -304,12 +346,12 @@ def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 60) -> DataFrame:
     return ranked.mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048, rounds: int = 60) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 2048) -> DataFrame:
     """One row per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null doc_ids stay null; other columns of ``docs`` are not read.  An empty table gives an empty one.
     """
-    return pack(common.cut(pieces(docs, tokenizer, capacity), "pieces"), capacity, rounds)
+    return pack(common.cut(pieces(docs, tokenizer, capacity), "pieces"), capacity)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

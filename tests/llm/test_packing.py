@@ -80,7 +80,9 @@ def test_encoder_on_any_text(texts):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 30), max_size=20))
 def test_plan_holds_every_piece_once(histogram):
-    sequences = packing.rounded(histogram, packing.solve(histogram, 50, rounds=10), 50)
+    plan = packing.Plan(histogram, 50)
+    sequences = plan.sequences
+    assert plan.bound <= plan.count == sum(n for _, n in sequences) and plan.by_lp <= plan.count
     held = Counter()
     for config, many in sequences:
         assert sum(config) <= 50
@@ -98,7 +100,13 @@ def test_knapsack_equals_brute_force():
     for _ in range(20):
         lengths = np.array(sorted(rng.sample(range(1, 30), 6)))
         price = np.array([rng.random() for _ in lengths])
-        best, _ = packing.knapsack(lengths, price, 40)
+        best, first = packing.knapsack(lengths, price, 40)
+        of = dict(zip(lengths.tolist(), price.tolist()))
+        for c in range(41):  # the lengths taken are worth the value
+            left, worth = c, 0.0
+            while left > 0:
+                worth, left = (worth + of[first[left]], left - first[left]) if first[left] >= 0 else (worth, left - 1)
+            assert abs(worth - best[c]) < 1e-9
         slow = [0.0] * 41
         for c in range(1, 41):
             slow[c] = max([slow[c - 1], *(slow[c - l] + p for l, p in zip(lengths.tolist(), price.tolist()) if l <= c)])
@@ -108,5 +116,22 @@ def test_knapsack_equals_brute_force():
 def test_close_to_the_bound_on_many_lengths():
     rng = random.Random(7)
     histogram = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000))
-    n = sum(m for _, m in packing.rounded(histogram, packing.solve(histogram, 2048), 2048))
-    assert n <= 1.002 * -(-sum(k * m for k, m in histogram.items()) // 2048) + 1
+    plan = packing.Plan(histogram, 2048)
+    assert plan.count <= 1.002 * plan.bound + 1 and plan.by_lp > 0.9 * plan.count
+
+
+def test_beats_best_fit_where_that_loses():
+    """Triples that fill a sequence exactly: best fit puts the long ones with the wrong partners."""
+    rng, histogram = random.Random(8), Counter()
+    for _ in range(3000):
+        a = rng.randrange(130, 200)
+        b = rng.randrange(130, min(250, 512 - a - 128))
+        histogram.update((a, b, 512 - a - b))
+    plan, plain = packing.Plan(histogram, 512), sum(n for _, n in packing.best_fit(histogram, 512))
+    assert plan.bound == 3000 and plan.count <= 1.01 * plan.bound and plan.count < 0.95 * plain
+
+
+def test_configurations_that_are_not_full():
+    histogram = {1025: 1000, 700: 3000, 400: 2500, 650: 900}
+    plan, plain = packing.Plan(histogram, 2048), sum(n for _, n in packing.best_fit(histogram, 2048))
+    assert plan.bound <= plan.count < plain and plan.by_lp > 0.9 * plan.count
