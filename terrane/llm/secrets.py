@@ -10,6 +10,7 @@ counter, and words of a bounded, hashed sample of documents.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def _no_spans() -> Column:
 def _placed(df: DataFrame, text: str, name: str, pattern: str, hint: str, nth: int, group: int = 0, least: int = 0) -> DataFrame:
     """``df`` with the array column ``name`` of (start, nth, end, kind) of the pattern's matches in code points.
 
-    Starts are sums of lengths before a match: of whole chunks of matches, and of those in its own chunk, so that a text
-    with very many matches takes time in proportion to them.
+    Starts are sums of lengths before a match: of whole chunks of matches, of chunks of chunks, and of those in its own
+    chunk, so that each match takes at most some CHUNK steps, and a chunk of chunks one for every CHUNK^2 matches before it.
     """
     has = F.col(text).rlike(hint)
     df = df.withColumn("_has", has)
@@ -48,10 +49,17 @@ def _placed(df: DataFrame, text: str, name: str, pattern: str, hint: str, nth: i
         "_sizes": F.transform(F.regexp_extract_all(own, F.lit(pattern), F.lit(group)), F.length),
     })
     df = df.withColumn("_units", F.zip_with(F.slice("_gaps", 1, F.size("_hits")), "_hits", lambda g, h: g + h))
-    chunks = F.sequence(F.lit(0), F.floor(F.size("_units") / CHUNK).cast("int"))
+    chunks = lambda a: F.sequence(F.lit(0), F.floor(F.size(a) / CHUNK).cast("int"))
     add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    df = df.withColumn("_totals", F.transform(chunks, lambda c: add(F.slice("_units", c * CHUNK + 1, CHUNK))))
-    df = df.withColumn("_before", F.transform(chunks, lambda c: add(F.slice("_totals", 1, c))))
+    df = df.withColumn("_totals", F.transform(chunks("_units"), lambda c: add(F.slice("_units", c * CHUNK + 1, CHUNK))))
+    df = df.withColumn("_wholes", F.transform(chunks("_totals"), lambda c: add(F.slice("_totals", c * CHUNK + 1, CHUNK))))
+    df = df.withColumn("_firsts", F.transform(chunks("_totals"), lambda c: add(F.slice("_wholes", 1, c))))
+
+    def before(c):
+        d = F.floor(c / CHUNK).cast("int")
+        return F.element_at("_firsts", d + 1) + add(F.slice("_totals", d * CHUNK + 1, c - d * CHUNK))
+
+    df = df.withColumn("_before", F.transform(chunks("_units"), before))
 
     def span(hit, k):
         c = F.floor(k / CHUNK).cast("int")
@@ -60,7 +68,7 @@ def _placed(df: DataFrame, text: str, name: str, pattern: str, hint: str, nth: i
 
     spans = F.filter(F.transform("_hits", span), lambda s, k: F.element_at("_sizes", k + 1) >= least)
     df = df.withColumn(name, F.when(F.size("_hits") > 0, spans).otherwise(_no_spans()))
-    return df.drop("_has", "_gaps", "_hits", "_sizes", "_units", "_totals", "_before")
+    return df.drop("_has", "_gaps", "_hits", "_sizes", "_units", "_totals", "_wholes", "_firsts", "_before")
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
@@ -102,6 +110,20 @@ def _random(token: Column, ratios: Column, margin: float) -> Column:
     return F.aggregate(both, F.lit(0.0), lambda s, x: s + x) > margin * (F.length(token) - 1)
 
 
+def _touches(spans: str, s: Column) -> Column:
+    """Whether a span meets one of ``spans``, which ascend and do not overlap each other: the last that starts before its end
+    is found by halving."""
+
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = F.element_at(spans, mid + 1)["start"] < s["end"]
+        return F.when(at["lo"] < at["hi"], F.struct(F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(below, at["hi"]).otherwise(mid).alias("hi"))).otherwise(at)
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(spans).cast("long"))))
+    before = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda at: at["lo"])
+    return F.when(F.size(spans) == 0, False).otherwise(F.coalesce(F.get(F.col(spans), before - 1)["end"] > s["start"], F.lit(False)))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -120,10 +142,10 @@ def scan(docs: DataFrame, margin: float = 0.6, max_docs: int = 1000, id_col: str
         df = _placed(df, "text", kind, pattern, HINTS[kind], nth, group, least)
     df = df.withColumn("base", F.array_sort(F.concat(*(k for k, *_ in KINDS))))
     df = _placed(df, "text", "random", TOKEN, TOKEN, len(KINDS))
-    apart = F.filter("random", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.withColumn("_free", apart)
-    told = F.filter("_free", lambda s: _random(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), ratios, margin))
-    df = df.withColumn("random", F.when(F.size("_free") > 0, told).otherwise(F.col("_free")))
+    df = df.withColumn("_tokens", F.when(F.size("random") > 0, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))))
+    apart = lambda s: ~reduce(lambda a, b: a | b, [_touches(k, s) for k, *_ in KINDS])
+    told = F.filter("random", lambda s, k: apart(s) & _random(F.element_at("_tokens", k + 1), ratios, margin))
+    df = df.withColumn("random", F.when(F.size("random") > 0, told).otherwise(F.col("random")))
     count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     spans = F.when(F.size("random") > 0, _joined(F.array_sort(F.concat("base", "random")))).otherwise(_joined(F.col("base")))
     return df.select("doc_id", *(count(k) for k, *_ in KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), count("random"))

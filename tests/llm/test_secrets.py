@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -72,3 +73,36 @@ def test_empty_and_native(spark):
     assert secrets.scan(data.frame(spark, [])).count() == 0
     plan = secrets.op10_secret_scan(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_many_spans_and_tokens_in_one_text(spark):
+    """Time in proportion: a hundred thousand tokens and a hundred thousand base spans in one text."""
+    rng = random.Random(6)
+    parts = []
+    for i in range(100_000):
+        parts.append(f"token=value{i:06d}")
+        parts.append(base64.urlsafe_b64encode(rng.randbytes(18)).decode() if i % 50 == 0 else "_".join(rng.choice(data.WORDS) for _ in range(4)))
+    text = " ".join(parts)
+    rows = [(1, text, "en", "s", 0), *((1000 + i, *r) for i, *r in data.corpus(60))]
+    start = time.time()
+    out = {r["doc_id"]: r for r in secrets.scan(data.frame(spark, rows)).collect()}[1]
+    assert time.time() - start < 60
+    assert out["n_assign"] == 100_000 and out["base_sha256"] == hashlib.sha256(joined(base(text)).encode()).hexdigest()
+    found = [tuple(map(int, x.split(":")[1:])) for x in out["spans"].split(",") if x.startswith("random")]
+    assert 1500 <= len(found) <= 2100 and all(re.fullmatch(secrets.TOKEN, text[a:b]) for a, b in found)
+
+
+def test_added_spans_equal_brute_force(spark, rows):
+    """Tokens that touch no base span, judged one by one with the model's own ratios."""
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(2000 + i, "key " + base64.b64encode(bytes([i] * 3 + list(range(i, i + 20)))).decode().rstrip("=") + " token=abcdefgh" * (i % 3), "en", "s", 0) for i in range(60)]
+    df = data.frame(spark, rows)
+    ratios = spark.range(1).select(secrets.train(df).alias("r")).first()["r"]
+    for r in secrets.scan(df).collect():
+        text = next(x[1] for x in rows if x[0] == r["doc_id"]) or ""
+        taken, expected = base(text), set()
+        for m in re.finditer(secrets.TOKEN, text):
+            if not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
+                token = m[0]
+                if sum(ratios[ord(a) * 128 + ord(b)] for a, b in zip(token, token[1:])) > 0.6 * (len(token) - 1):
+                    expected.add((m.start(), m.end()))
+        assert {tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")} == expected
