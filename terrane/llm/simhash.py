@@ -6,9 +6,10 @@ largest coordinate difference is more are discarded unseen; the survivors are ve
 
 Pairs are looked for inside blocks only: with ``b`` blocks of bits, fingerprints at most ``radius`` bits apart agree on
 some ``b - radius`` whole blocks, so equal blocks are an equi-join key that loses no link.  The number of blocks follows the
-number of distinct fingerprints, so that a block's bucket stays near a constant size; every choice is exact.  A bucket is
-streamed in the order of its first pivot distance and only a window of ``radius`` around each row is held, so a bucket of
-any size needs bounded memory, and rows that already hang together are not compared again.
+number of distinct fingerprints, so that a block's bucket stays near a constant size; every choice is exact.  A larger bucket
+is dealt in pairs of parts over many tasks.  Rows come in the order of their first pivot distance, and a row meets only those
+within ``radius`` of its own; of those, the other pivots discard what differs by more in some coordinate, and the rest is
+verified.  A task holds two parts at most, and rows that already hang together are not compared again.
 
 Few bits of a short fingerprint tell only nearly equal texts apart.  For copies of a given similarity (``near_copies``) texts
 get 1,024 bits over their sets of shingles, whose share of differing bits follows the angle between the sets.  There, pairs
@@ -90,10 +91,11 @@ def _keys(fp: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
     return key.view(np.int64)
 
 
-def window_links(fp: np.ndarray, group: np.ndarray, at: np.ndarray, ref: np.ndarray, radius: int, old: int) -> np.ndarray:
+def window_links(fp: np.ndarray, group: np.ndarray, at: np.ndarray, ref: np.ndarray, radius: int, old: int, own: np.ndarray, mixed: np.ndarray) -> np.ndarray:
     """Labels that join rows of the same group at most ``radius`` bits apart.
 
     Rows come sorted by (group, at), ``at`` being the distance to the first pivot; pairs of the first ``old`` rows are known.
+    In a ``mixed`` group, of two parts, only rows that differ in ``own`` are compared.
     """
     n = len(fp)
     table = [np.bitwise_count(fp ^ p).astype(np.int8) for p in ref]
@@ -108,6 +110,7 @@ def window_links(fp: np.ndarray, group: np.ndarray, at: np.ndarray, ref: np.ndar
         if not len(i):
             return sets.labels()
         a = i[(i + k >= old) & (labels[i] != labels[i + k])]
+        a = a[~mixed[a] | (own[a] != own[a + k])]
         for row in table:
             if not len(a):
                 break
@@ -118,10 +121,20 @@ def window_links(fp: np.ndarray, group: np.ndarray, at: np.ndarray, ref: np.ndar
             labels = sets.labels()
 
 
-def links(reps: DataFrame, radius: int = 4, n_pivots: int = 16, batch: int = 200_000) -> DataFrame:
+def _in_parts(dealt: DataFrame, part: int) -> DataFrame:
+    """Rows of buckets (block, key) → with low, high and own: a bucket of more than ``part`` rows is dealt into parts by
+    its reps, and every two of them meet, so each pair of the bucket is compared once, and no task holds the bucket."""
+    large = common.cut(dealt.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > part), "simhash-large")
+    dealt = dealt.join(large, ["block", "key"], "left")
+    parts = F.when(F.col("n").isNull(), 1).otherwise(F.ceil(F.col("n") / part)).cast("int")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "block"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.withColumns({"low": F.least("own", "_other"), "high": F.greatest("own", "_other")}).drop("n", "_other")
+
+
+def links(reps: DataFrame, radius: int = 4, n_pivots: int = 16, batch: int = 200_000, part: int = 16_384) -> DataFrame:
     """(fp, rep) with distinct fp → (u, v) links between reps that hang together at most ``radius`` bits apart.
 
-    A spanning forest of every bucket comes out, not its pairs.
+    A spanning forest of every bucket comes out, not its pairs.  Buckets of more than ``part`` rows are dealt in pairs of parts.
     """
     ref, parts = pivots(n_pivots), blocks(reps.count(), radius)
 
@@ -141,12 +154,12 @@ def links(reps: DataFrame, radius: int = 4, n_pivots: int = 16, batch: int = 200
 
         def work(held, carry, last):
             t = common.table(held)
-            cols = [] if t is None else [t.column(c).to_numpy() for c in ("block", "key", "at", "fp", "rep")]
+            cols = [] if t is None else [t.column(c).to_numpy() for c in names]
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols)] if cols else carry
-            block, key, at, fp, rep = cols
-            group = np.cumsum(np.r_[False, (block[1:] != block[:-1]) | (key[1:] != key[:-1])])
-            label = window_links(fp.view(_U), group, at, ref[1:], radius, 0 if carry is None else len(carry[0]))
+            block, key, low, high, own, at, fp, rep = cols
+            group = np.cumsum(np.r_[False, (block[1:] != block[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            label = window_links(fp.view(_U), group, at, ref[1:], radius, 0 if carry is None else len(carry[0]), own, low != high)
             linked = label != np.arange(len(fp))
             out = pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["u", "v"])
             keep = (group == group[-1]) & (at >= at[-1] - radius)
@@ -162,9 +175,9 @@ def links(reps: DataFrame, radius: int = 4, n_pivots: int = 16, batch: int = 200
         if n:
             yield work(held, carry, True)[0]
 
-    dealt = reps.select("fp", "rep").mapInArrow(spread, "block int, key long, at int, fp long, rep long")
-    dealt = dealt.repartition("block", "key").sortWithinPartitions("block", "key", "at", "fp")
-    return dealt.mapInArrow(compare, "u long, v long")
+    names, keys = ["block", "key", "low", "high", "own", "at", "fp", "rep"], ["block", "key", "low", "high"]
+    dealt = _in_parts(reps.select("fp", "rep").mapInArrow(spread, "block int, key long, at int, fp long, rep long"), part).select(names)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "at", "fp").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, n_pivots: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,9 +249,8 @@ def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: fl
 
     Sets of Jaccard similarity s and equal size have a cosine of 2s / (1 + s), and differ in the share of bits that their
     angle has of a half turn; two per cent are added for the spread of such a count.  Blocks of bits are as wide as keeps
-    buckets near 64 rows, and as many as find a pair at the threshold with ``recall``.  A bucket of more than ``part`` rows
-    is dealt into parts, and every two of them meet, so that each pair of the bucket is compared (in the order of the square
-    of its rows, over many tasks).
+    buckets near 64 rows, and as many as find a pair at the threshold with ``recall``.  Every pair of a bucket is compared;
+    one of more than ``part`` rows is dealt in pairs of parts.
     """
     n, wide = reps.count(), reps.select(F.max(F.length("fp"))).first()[0] or 8
     bits = 8 * wide
@@ -296,11 +308,7 @@ def near_links(reps: DataFrame, similarity: float, n_pivots: int = 8, recall: fl
             yield work(held)
 
     dealt = reps.select("fp", "rep").mapInArrow(spread, "block int, key long, fp binary, rep long")
-    large = common.cut(dealt.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > part), "simhash-large")
-    dealt = dealt.join(large, ["block", "key"], "left")
-    parts = F.when(F.col("n").isNull(), 1).otherwise(F.ceil(F.col("n") / part)).cast("int")
-    dealt = dealt.select("block", "key", F.pmod(F.xxhash64("rep", "block"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"), "fp", "rep")
-    dealt = dealt.select("block", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", "rep")
+    dealt = _in_parts(dealt, part).select("block", "key", "low", "high", "own", "fp", "rep")
     keys = ["block", "key", "low", "high"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long")
 

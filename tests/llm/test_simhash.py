@@ -137,7 +137,8 @@ def test_blocks_lose_no_pair(n):
         assert (ka == kb).any()
 
 
-def test_streamed_buckets_lose_no_pair(spark):
+@pytest.mark.parametrize("part", [16_384, 20])
+def test_streamed_buckets_lose_no_pair(spark, part):
     """Batches far smaller than a bucket: the window that is carried on must hold every partner."""
     rng = random.Random(8)
     centre = rng.getrandbits(64)
@@ -149,7 +150,7 @@ def test_streamed_buckets_lose_no_pair(spark):
         fps.add(x)
     points = list(enumerate(sorted(fps)))
     signed = [(x - (1 << 64) if x >= 1 << 63 else x, i) for i, x in points]
-    links = simhash.links(spark.createDataFrame(signed, "fp long, rep long").repartition(2), batch=7)
+    links = simhash.links(spark.createDataFrame(signed, "fp long, rep long").repartition(2), batch=7, part=part)
     got = {r["node"]: r["component"] for r in common.connected_components(links).collect()}
     expected = brute(points)
     assert {k: got.get(k, k) for k in expected} == expected
