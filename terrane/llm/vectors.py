@@ -1,56 +1,95 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Every tree splits the space again and again by the median of a random projection; vectors near a split go to both sides
-(spill), and many trees are grown, so that close vectors meet in some leaf with near certainty.  Trees are fitted on a
-bounded sample and every vector is routed through all of them.  Inside a leaf all pairs of one label are compared in double
-precision, block by block, and what comes out is not pairs but, for each vector, how many partners it has there and the
-smallest vector it hangs together with.  Partners are counted once: each vector carries its leaves, and a pair is counted
-in the first leaf that it shares.
-
-Equal vectors are one class from the start.  A leaf that holds more than ``part`` classes of a label is dealt in pairs of parts
-over many tasks.
+Vectors are compared within their label, so every label has trees of its own.  A tree splits its vectors again and again at
+the median of a random projection; vectors near a split go to both sides (spill), as near as twice what linked vectors
+differ there typically, so that few linked pairs are parted, and a dense group, which would go to both sides whole, is not
+split but compared whole.  Labels of more than ``part`` vectors are first split into cells that the shuffle deals over tasks, each
+vector travelling to the few cells that it spills into; splits of cells are fitted on bounded samples, again within those that
+are still large.  Inside a task many trees are grown over the cell's own vectors; within their leaves all pairs are compared in
+double precision, block by block, and what comes out is not pairs but, for each vector, how many partners it has there
+and the smallest vector it hangs together with.  A pair is counted once: in the first cell and the first leaf that it shares.
+
+Equal vectors are one class from the start.  A cell that cannot be split below ``part`` classes is dealt in pairs of parts.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import common
 
+_MASK = (1 << 63) - 1
+
+
+@lru_cache(4096)
+def _direction(dim: int, *key: int) -> np.ndarray:
+    d = np.random.default_rng([abs(k) for k in key]).standard_normal(dim)
+    return d / np.sqrt(d @ d)
 
-class Tree:
-    """One random direction a level, and for each node the band around the median of its sample's projections.
 
-    Nodes are fitted as deep as the sample reaches (``enough`` vectors a node); below, every fitted leaf goes on splitting by
-    the bands of its own sample.  So a tree of any depth has as many numbers as its sample.
+def grow(x: np.ndarray, n: int, leaf: int, margin: float, key: tuple[int, ...], enough: int = 32, tries: int = 3, progress: float = 0.9) -> tuple[dict[int, tuple[int, float]], list[tuple[int, np.ndarray]]]:
+    """A tree over unit vectors, of which there are ``n`` in truth: node → (which direction, where it splits), and the leaves
+    as (node, rows).  Nodes are numbered as in a heap, from 1.
+
+    A node is split until it stands for at most ``leaf`` vectors, has fewer than ``enough`` rows, or no direction leaves
+    each side at most ``progress`` of it.
     """
+    nodes, leaves, todo = {}, [], [(1, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        if len(rows) * n > leaf * len(x) and len(rows) >= enough and node < 1 << 40:
+            for k in range(tries):
+                p = x[rows] @ _direction(x.shape[1], *key, node, k)
+                at = float(np.median(p))
+                left, right = rows[p <= at + margin], rows[p > at - margin]
+                if max(len(left), len(right)) <= progress * len(rows):
+                    nodes[node] = (k, at)
+                    todo += [(2 * node, left), (2 * node + 1, right)]
+                    break
+            if node in nodes:
+                continue
+        leaves.append((node, rows))
+    return nodes, leaves
+
+
+def route(x: np.ndarray, rows: np.ndarray, nodes: dict[int, tuple[int, float]], margin: float, key: tuple[int, ...]) -> list[tuple[int, np.ndarray]]:
+    """The leaves of a grown tree as (node, those of ``rows`` that it holds)."""
+    out, todo = [], [(1, rows)]
+    while todo:
+        node, rows = todo.pop()
+        if node not in nodes:
+            out.append((node, rows))
+        elif len(rows):
+            k, at = nodes[node]
+            p = x[rows] @ _direction(x.shape[1], *key, node, k)
+            todo += [(2 * node, rows[p <= at + margin]), (2 * node + 1, rows[p > at - margin])]
+    return out
+
+
+def _below(cell: int, node: int) -> int:
+    """Number of a cell's leaf; 0 is a whole label."""
+    x = (cell * 0x9E3779B97F4A7C15 + node) & ((1 << 64) - 1)
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
+    return (x ^ (x >> 31)) & _MASK
+
 
-    def __init__(self, sample: np.ndarray, depth: int, spill: float, rng: np.random.Generator, enough: int = 8):
-        self.depth = depth
-        self.fitted = min(depth, max(0, int(math.log2(max(1, len(sample) / enough)))))
-        self.directions = rng.standard_normal((max(depth, 1), sample.shape[1]))
-        self.bands: list[np.ndarray] = []
-        cells = [sample]
-        for level in range(depth):
-            at = [c @ self.directions[level] for c in cells]
-            self.bands.append(np.array([np.quantile(v, (0.5 - spill / 2, 0.5 + spill / 2)) if len(v) else (0.0, 0.0) for v in at]))
-            if level < self.fitted:
-                cells = [part for c, v in zip(cells, at) for part in ((c[v <= np.median(v)], c[v > np.median(v)]) if len(v) else (c, c))]
-
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of unit vectors; a row may have several leaves."""
-        row, leaf, cell = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        for level in range(self.depth):
-            at, band = (x @ self.directions[level])[row], self.bands[level][cell]
-            left, right = at <= band[:, 1], at > band[:, 0]
-            row, leaf = np.r_[row[left], row[right]], np.r_[2 * leaf[left], 2 * leaf[right] + 1]
-            cell = np.r_[cell[left], cell[right]] if level >= self.fitted else leaf
-        return row, leaf
+def cells(x: np.ndarray, trees: dict[int, dict], margin: float, seed: int) -> list[tuple[int, np.ndarray]]:
+    """(cell, rows) of one label's vectors; ``trees``: cell → its nodes, where it is split."""
+    out, todo = [], [(0, np.arange(len(x)))]
+    while todo:
+        cell, rows = todo.pop()
+        if cell in trees:
+            todo += [(_below(cell, node), r) for node, r in route(x, rows, trees[cell], margin, (seed, cell)) if len(r)]
+        else:
+            out.append((cell, rows))
+    return out
 
 
 def units(values: np.ndarray) -> np.ndarray:
@@ -69,41 +108,71 @@ def _valid(v) -> F.Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _leaf(x: np.ndarray, codes: np.ndarray, code: int, many: np.ndarray, parts: np.ndarray, mixed: bool, threshold: float, block: int = 512):
-    """(partners counted here, index of the smallest row that each hangs together with); rows come in the order of their rep."""
+def _lists(rows: list[np.ndarray], n: int) -> np.ndarray:
+    """Which of the groups of rows hold each of n rows: their numbers, ascending, filled up with -1."""
+    row, which = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.lexsort((which, row))
+    row, which = row[order], which[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    out = np.full((n, int(nth.max(initial=0)) + 1), -1, np.int64)
+    out[row, nth] = which
+    return out
+
+
+def _first(lists: np.ndarray, p: np.ndarray, q: np.ndarray, this: int) -> np.ndarray:
+    """Whether ``this`` is the smallest number that rows p and q both have."""
+    if lists.shape[1] == 1:
+        return np.ones(len(p), bool)
+    mine = lists[p]
+    both = (mine[:, :, None] == lists[q][:, None, :]).any(axis=2) & (mine >= 0)
+    return np.where(both, mine, np.iinfo(np.int64).max).min(axis=1) == this
+
+
+def compare(x: np.ndarray, many: np.ndarray, own: np.ndarray, mixed: bool, codes: np.ndarray, code: int, threshold: float, leaf: int, trees: int, margin: float, seed: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(partners counted here, index of the smallest row that each hangs together with) of the unit vectors of one cell.
+
+    ``codes`` has the cells of each row, ``code`` this one; in a ``mixed`` cell, of two parts, only rows that differ in
+    ``own`` meet.
+    """
     n = len(x)
-    partners, root = np.zeros(n, np.int64), np.arange(n)
-    near: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, n, block):
-        for b in range(a, n, block):
-            i, j = np.nonzero(x[a : a + block] @ x[b : b + block].T >= threshold)
-            i, j = i + a, j + b
-            keep = i < j
-            if mixed:
-                keep &= parts[i] != parts[j]
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            near.append((i, j))
-            for k in range(0, len(i), 20000):
-                p, q = i[k : k + 20000], j[k : k + 20000]
-                both = (codes[p][:, :, None] == codes[q][:, None, :]).any(axis=2)
-                first = np.where(both & (codes[p] >= 0), codes[p], np.iinfo(np.int64).max).min(axis=1) == code
-                np.add.at(partners, p[first], many[q[first]])
-                np.add.at(partners, q[first], many[p[first]])
-    changed = bool(near)
-    while changed:
-        before = root.copy()
-        for i, j in near:
-            low = np.minimum(root[i], root[j])
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-        root = root[root]
-        changed = (root != before).any()
+    groups: list[np.ndarray] = []
+    for t in range(trees):
+        leaves = grow(x, n, leaf, margin, (seed, t + 1))[1]
+        groups += [r for _, r in leaves]
+        if len(leaves) == 1:
+            groups = groups[-1:]  # one leaf holds every pair
+            break
+    lists = _lists(groups, n)
+    partners, sets = np.zeros(n, np.int64), common.Sets(n)
+    root = sets.labels()
+    for g, rows in enumerate(groups):
+        rows = np.sort(rows)
+        for a in range(0, len(rows), block):
+            one = rows[a : a + block]
+            for b in range(a, len(rows), block):
+                two = rows[b : b + block]
+                i, j = np.nonzero(x[one] @ x[two].T >= threshold)
+                i, j = one[i], two[j]
+                keep = i < j
+                if mixed:
+                    keep &= own[i] != own[j]
+                i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                for k in range(0, len(i), 20_000):
+                    p, q = i[k : k + 20_000], j[k : k + 20_000]
+                    once = _first(lists, p, q, g) & _first(codes, p, q, code)
+                    np.add.at(partners, p[once], many[q[once]])
+                    np.add.at(partners, q[once], many[p[once]])
+                apart = root[i] != root[j]
+                if apart.any():
+                    pair = np.unique(np.stack([root[i[apart]], root[j[apart]]]), axis=1)
+                    sets.join(pair[0], pair[1])
+                    root = sets.labels()
     return partners, root
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 8, leaf: int = 128, spill: float = 0.1, sample: int = 16384, part: int = 1024, seed: int = 11,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 6, leaf: int = 256, part: int = 4096, sample: int = 16_384, seed: int = 11,
                     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -112,7 +181,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 8,
     (component_id is the vec_id, n_links 0, kept).  Repeated rows are vectors of their own, linked with each other.  Other
     columns are not read; an empty table gives an empty one.
 
-    ``sample`` bounds what the trees are fitted on; every vector is indexed.  Depth follows the largest label.
+    ``sample`` bounds the vectors that the split of one cell is fitted on (a cell of more than ``part`` classes gets at most
+    sample / 64 below it, which are split again while they are large); every vector is indexed.  What all tasks hold of the
+    trees is some 100 bytes for every ``part`` vectors.
     """
     spark = vectors.sparkSession
     common.small_batches(spark, 4096)
@@ -122,61 +193,81 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 8,
     keys = [F.when(usable, F.xxhash64("v", F.lit(k))).alias(f"k{k}") for k in (1, 2)]
     rows = rows.select("id", "label", *keys, F.when(usable, F.col("v")).alias("v"), F.size("v").alias("dim"))
     same = ["label", "dim", "k1", "k2"]
-    classes = rows.where("k1 is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("many"), F.first("v").alias("v"))
-    classes = common.cut(classes, "rp-classes")
-
-    largest = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
-    rng, forests = np.random.default_rng(seed), {}
-    for r in sorted(largest):
-        few = classes.where(F.col("dim") == r["dim"]).select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
-        x = units(_matrix(few.column("v")))
-        depth = max(0, math.ceil(math.log2(max(1, r["n"] / leaf))))
-        forests[r["dim"]] = [Tree(x, depth, spill, rng) for _ in range(trees)]
-    if not forests:
-        out = rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-        return out.withColumn("kept", F.lit(True))
-    shared = spark.sparkContext.broadcast(forests)
-    wide = {d: max(1 << t.depth for t in f) for d, f in forests.items()}
+    # classes are known by hashes of their vectors; the vectors come from the input again, by the id of a class's first row
+    classes = common.cut(rows.where("k1 is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("many")), "rp-classes")
+    of = [F.col(c).alias(f"_{c}") for c in same]
+    on = (F.col("id") == F.col("rep")) & F.expr(" and ".join(f"{c} = _{c}" for c in same))
+    firsts = rows.where("k1 is not null").join(classes.select(*of, "rep", "many"), on).select("label", "dim", "rep", "many", "v")
+    kind, margin = rows.schema["v"].dataType.simpleString(), math.sqrt(max(0.0, 2 - 2 * threshold))
+    forests: dict[tuple[str, int], dict[int, dict]] = {}
 
     def routed(batches):
         for b in batches:
-            dim = b.column(1).to_numpy(zero_copy_only=False)
-            for d in np.unique(dim).tolist():
-                own = np.flatnonzero(dim == d)
+            for (label, dim), own in pd.DataFrame({"label": b.column(0).to_pylist(), "dim": b.column(1).to_pylist()}).groupby(["label", "dim"]).indices.items():
                 picked = b.take(pa.array(own))
                 x = units(_matrix(picked.column(4)))
-                found = [t.route(x) for t in shared.value[d]]
-                row = np.concatenate([r for r, _ in found])
-                code = np.concatenate([c + k * wide[d] for k, (_, c) in enumerate(found)])
+                found = cells(x, shared.value.get((label, dim), {}), margin / math.sqrt(dim), seed)
+                row, code = np.concatenate([r for _, r in found]), np.repeat(np.array([c for c, _ in found], np.int64), [len(r) for _, r in found])
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order]
                 per = np.bincount(row, minlength=len(x))
                 every = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(code))
                 index = pa.array(row)
-                yield pa.RecordBatch.from_arrays([picked.column(0).take(index), picked.column(1).take(index), pa.array(code), picked.column(2).take(index), picked.column(3).take(index), picked.column(4).take(index), every.take(index)],
+                yield pa.RecordBatch.from_arrays([*(picked.column(k).take(index) for k in (0, 1)), pa.array(code), *(picked.column(k).take(index) for k in (2, 3, 4)), every.take(index)],
                                                  ["label", "dim", "code", "rep", "many", "v", "codes"])
 
-    kind = classes.schema["v"].dataType.simpleString()
-    dealt = classes.select("label", "dim", "rep", "many", "v").mapInArrow(routed, f"label string, dim int, code long, rep long, many long, v {kind}, codes array<long>")
-    large = common.cut(dealt.groupBy("label", "dim", "code").agg(F.count("*").alias("n")).where(F.col("n") > part), "rp-large")
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        label, dim, cell, n = (frame[c].iloc[0] for c in ("label", "dim", "code", "n"))
+        x = units(np.stack(frame.sort_values("rep")["v"].to_list()))
+        nodes, _ = grow(x, int(n), part, margin / math.sqrt(int(dim)), (seed, int(cell)), enough=64)
+        order = sorted(nodes)
+        return pd.DataFrame({"label": [label], "dim": [dim], "cell": [cell], "node": [order], "k": [[nodes[i][0] for i in order]], "at": [[nodes[i][1] for i in order]]})
+
+    shared, tried = spark.sparkContext.broadcast(forests), set()
+    counted = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("code", F.lit(0).cast("long")).where(F.col("n") > part)
+    while True:
+        # Only cells over ``part``, each split once: one row for at least so many classes.
+        large = common.cut(counted, "rp-cells")
+        if not large.select(F.lit(1)).take(1):
+            break
+        dealt = firsts.mapInArrow(routed, f"label string, dim int, code long, rep long, many long, v {kind}, codes array<long>")
+        some = dealt.select("label", "dim", "code", "rep", "v").join(large, ["label", "dim", "code"])
+        some = some.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col("n") / sample)) == 0)
+        found = some.groupBy("label", "dim", "code").applyInPandas(fit, "label string, dim int, cell long, node array<long>, k array<int>, at array<double>").collect()
+        for r in found:
+            if r["node"]:
+                forests.setdefault((r["label"], r["dim"]), {})[r["cell"]] = dict(zip(r["node"], zip(r["k"], r["at"])))
+            tried.add((r["label"], r["dim"], r["cell"]))
+        shared = spark.sparkContext.broadcast(forests)
+        done = spark.createDataFrame(sorted(tried), "label string, dim int, code long")
+        counted = firsts.mapInArrow(routed, f"label string, dim int, code long, rep long, many long, v {kind}, codes array<long>")
+        counted = counted.groupBy("label", "dim", "code").agg(F.count("*").alias("n")).where(F.col("n") > part).join(done, ["label", "dim", "code"], "left_anti")
+
+    dealt = firsts.mapInArrow(routed, f"label string, dim int, code long, rep long, many long, v {kind}, codes array<long>")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("code", F.lit(0).cast("long"))
+    if forests:
+        sizes = dealt.groupBy("label", "dim", "code").agg(F.count("*").alias("n"))
+    large = common.cut(sizes.where(F.col("n") > part), "rp-large")
     dealt = dealt.join(large, ["label", "dim", "code"], "left")
     parts = F.when(F.col("n").isNull(), 1).otherwise(F.ceil(F.col("n") / part)).cast("int")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("label", "dim", "code", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "own", "many", "v", "codes")
 
-    def compare(batches):
+    def within(batches):
         held = [[], [], []]
         for t in common.runs(batches, 5):
-            if t.num_rows < 2:
+            rep, first = np.unique(t.column("rep").to_numpy(), return_index=True)  # rows that repeat an id and a vector
+            if len(rep) < 2:
                 continue
-            rep, own, many = (t.column(c).to_numpy() for c in ("rep", "own", "many"))
-            lists = t.column("codes").combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            sizes = np.diff(lists.offsets.to_numpy())
+            t = t.take(pa.array(first))
+            own, many = (t.column(c).to_numpy() for c in ("own", "many"))
+            code, dim, low, high = (t.column(c)[0].as_py() for c in ("code", "dim", "low", "high"))
+            listed = t.column("codes").combine_chunks()
+            listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
+            sizes = np.diff(listed.offsets.to_numpy())
             codes = np.full((len(rep), sizes.max()), -1, np.int64)
-            codes[np.arange(codes.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
-            low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-            partners, root = _leaf(units(_matrix(t.column("v"))), codes, t.column("code")[0].as_py(), many, own, low != high, threshold)
+            codes[np.arange(codes.shape[1]) < sizes[:, None]] = listed.flatten().to_numpy()
+            partners, root = compare(units(_matrix(t.column("v"))), many, own, low != high, codes, code, threshold, leaf, trees, margin / math.sqrt(dim), seed)
             linked = (partners > 0) | (root != np.arange(len(rep)))
             for column, values in zip(held, (rep[linked], partners[linked], rep[root[linked]])):
                 column.append(values)
@@ -187,7 +278,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 8,
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], ["rep", "partners", "root"])
 
     spread = ["label", "dim", "code", "low", "high"]
-    found = dealt.repartition(*spread).sortWithinPartitions(*spread, "rep").mapInArrow(compare, "rep long, partners long, root long")
+    found = dealt.repartition(*spread).sortWithinPartitions(*spread).mapInArrow(within, "rep long, partners long, root long")
     found = common.cut(found, "rp-found")
     component = common.connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "rp-cc")
     links = found.groupBy("rep").agg(F.sum("partners").alias("partners"))

@@ -45,15 +45,33 @@ def test_recall_and_no_false_link(spark):
     assert sum(got[i]["component_id"] == e[2] for i, e in expected.items()) >= 0.97 * len(rows)
 
 
-def test_trees_of_any_depth_follow_their_sample():
+def test_trees_hold_every_row_and_route_alike():
     rng = np.random.default_rng(4)
     x = vectors.units(rng.standard_normal((4000, 16)))
-    tree = vectors.Tree(x[:256], 30, 0.1, rng)
-    row, leaf = tree.route(x)
-    assert sum(b.size for b in tree.bands) < 2 * 30 * 32 and set(row.tolist()) == set(range(4000)) and leaf.max() < 1 << 30
-    shallow = vectors.Tree(x, 5, 0.0, rng)
-    sizes = np.bincount(shallow.route(x)[1], minlength=32)
-    assert len(sizes) == 32 and sizes.min() >= 100 and sizes.max() <= 150  # medians halve
+    nodes, leaves = vectors.grow(x, 4000, 100, 0.02, (1, 2))
+    assert max(len(r) for _, r in leaves) <= 100 and set(np.concatenate([r for _, r in leaves]).tolist()) == set(range(4000))
+    again = dict(vectors.route(x, np.arange(4000), nodes, 0.02, (1, 2)))
+    assert all((again[node] == rows).all() for node, rows in leaves)
+    assert sum(len(r) for _, r in leaves) < 2 * 4000  # spill is a band around each median
+
+
+def test_dense_groups_are_not_split():
+    rng = np.random.default_rng(5)
+    x = vectors.units(np.ones(16) + rng.standard_normal((500, 16)) * 0.01)
+    assert len(vectors.grow(x, 500, 16, 0.2 / 4, (1,))[1]) == 1
+
+
+def test_cells_dealt_over_tasks_lose_few_links(spark):
+    """A label of many times ``part``, with a dense group that cannot be split."""
+    rows = cloud(1500, groups=200)
+    rng = np.random.default_rng(6)
+    rows += [[5000 + i, (np.ones(32) + rng.standard_normal(32) * 0.02).astype(np.float32).tolist(), 1] for i in range(200)]
+    rows = [[i, v, 1] for i, v, _ in rows]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), leaf=16, part=60, sample=640).collect()}
+    expected = {r[0]: r for r in brute(rows)}
+    assert all(got[i]["n_links"] <= e[1] for i, e in expected.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.97 * sum(e[1] for e in expected.values())
+    assert {(got[5000 + i]["n_links"], got[5000 + i]["component_id"]) for i in range(200)} == {(199, 5000)}
 
 
 def test_small_tables_are_exact(spark):
