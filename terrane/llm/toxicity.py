@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney models over the characters of words, one of toxic and one of ordinary documents, share their
-lower orders: below the highest order both back off to continuation counts over all training texts, so an expression that
-was too rare to tell the classes apart has the same probability in both.  A word's log-likelihood ratio is remembered; a
+lower orders: below the highest order both back off to continuation counts over all documents, labelled or not, so an
+expression that was too rare to tell the classes apart has the same probability in both.  A word's log-likelihood ratio is remembered; a
 document is judged by the difference of the two log-likelihoods per word, over the whole text and over its most telling
 words (a few words in a long text would be lost in the mean), and a logistic calibration turns that into a score.
 
-The models are fitted on a bounded sample of labelled rows (``max_docs`` of each class, those of the smallest hashes); their
-n-gram counts are summed by Spark.  Scoring reads every whole text.
+The highest order and the calibration are fitted on a bounded sample of labelled rows (``max_docs`` of each class, those of the
+smallest hashes); the shared lower orders grow with the corpus: every different n-gram of every whole text counts, and what
+follows a context of the sample comes to the driver.  Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -37,12 +38,22 @@ def grams(word: str, order: int = ORDER):
     return [padded[i : i + order] for i in range(len(word) + 1)]
 
 
-def fit(counts: dict[str, tuple[int, int]], discount: float = 0.75) -> tuple[dict[str, float], dict[str, float]]:
+def continuations(types) -> dict[str, int]:
+    """n-grams of one order → for every shorter one: how many different characters stand before it."""
+    out, level = {}, set(types)
+    while level and len(next(iter(level))) > 1:
+        out.update(Counter(g[1:] for g in level))
+        level = {g[1:] for g in level}
+    return out
+
+
+def fit(counts: dict[str, tuple[int, int]], shared_counts: dict[str, int] | None = None, discount: float = 0.75) -> tuple[dict[str, float], dict[str, float]]:
     """n-gram → (times in ordinary, times in toxic texts) → log-likelihood ratios of n-grams, and of contexts whose next
     character neither class has seen there.
 
-    With P_c(x | h) = max(n_c(hx) - D, 0) / n_c(h) + b_c(h) P(x | shorter h), what both share cancels wherever neither has seen
-    hx, and only the ratio of the backoff weights b stays.
+    ``shared_counts``: :func:`continuations` of the corpus, at least of what follows the contexts of these n-grams (without
+    it, of these n-grams alone).  With P_c(x | h) = max(n_c(hx) - D, 0) / n_c(h) + b_c(h) P(x | shorter h), what both share
+    cancels wherever neither has seen hx, and only the ratio of the backoff weights b stays.
     """
     order = len(next(iter(counts))) if counts else ORDER
     total, kinds = [Counter(), Counter()], [Counter(), Counter()]
@@ -51,22 +62,17 @@ def fit(counts: dict[str, tuple[int, int]], discount: float = 0.75) -> tuple[dic
             if n[c]:
                 total[c][g[:-1]] += n[c]
                 kinds[c][g[:-1]] += 1
-    # Shared lower orders: how many different characters stand before an n-gram, in either class.
+    low_counts = continuations(counts) if shared_counts is None else shared_counts
+    levels: list[dict[str, int]] = [{} for _ in range(order)]
+    for g, n in low_counts.items():
+        levels[len(g)][g] = n
+    letters = max(1, len(levels[1])) if order > 1 else 1
     shared: list[dict[str, float]] = [{}]
-    level = {g[1:] for g in counts}
-    continuation = Counter(g[1:] for g in counts)
-    tables = []
-    while order > 1:
-        order -= 1
+    for continuation in levels[1:]:
         sums, seen = defaultdict(int), defaultdict(int)
         for g, n in continuation.items():
             sums[g[:-1]] += n
             seen[g[:-1]] += 1
-        tables.append((continuation, sums, seen))
-        continuation = Counter(g[1:] for g in level)
-        level = {g[1:] for g in level}
-    letters = max(1, len(tables[-1][0])) if tables else 1
-    for continuation, sums, seen in reversed(tables):
         lower, here = shared[-1], {}
         for g, n in continuation.items():
             h = g[:-1]
@@ -141,11 +147,44 @@ def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2500) -> Scorer:
-    """Fit on at most ``max_docs`` labelled rows of each class outside the held-out third (a documented bound).
+def _corpus_counts(docs: DataFrame, sample: DataFrame, order: int = ORDER, room: int = 500_000) -> dict[str, int]:
+    """:func:`continuations` of all texts of ``docs``, of what follows the contexts of the n-grams in column g of ``sample``.
+
+    Tasks forget the n-grams that they have told of when there are more than ``room``; Spark tells them apart in the end.
+    """
+
+    def told(batches):
+        seen: set[str] = set()
+        known: set[str] = set()
+        for b in batches:
+            words = set()
+            for t in b.column(0).to_pylist():
+                words.update(WORDS.findall(t.lower()))
+            words -= known
+            known.update(w for w in words if len(w) <= LONGEST)
+            new = {g for w in words for g in grams(w, order)} - seen
+            seen |= new
+            if len(seen) > room or len(known) > room:
+                seen, known = set(), set()
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["g"])
+
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    types = texts.mapInArrow(told, "g string").distinct()
+    tails = types.select(F.explode(F.array(*(F.expr(f"right(g, {k})") for k in range(2, order + 1)))).alias("g")).distinct()
+    counts = tails.groupBy(F.expr("substring(g, 2)").alias("s")).agg(F.count("*").alias("n"))
+    context = F.expr("substring(g, 1, length(g) - 1)")
+    needed = sample.select(F.explode(F.array(*(F.expr(f"right(g, {k})") for k in range(1, order)))).alias("g")).select(context.alias("h")).distinct()
+    found = counts.join(needed, F.expr("substring(s, 1, length(s) - 1)") == F.col("h"), "left_semi").toArrow().to_pydict()
+    return dict(zip(found["s"], found["n"]))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, near: float = 0.02) -> Scorer:
+    """Fit on at most ``max_docs`` labelled rows of each class outside the held-out third (a documented bound), and on the
+    n-grams of all documents below the highest order.
 
     Three quarters of the rows give the counts, one quarter the calibration.  Repeated labels of a document count once, the
     higher one; rows with a null doc_id or label are left out.  Without toxic or without ordinary rows every score is low.
+    Log-likelihood ratios within ``near`` of none are taken for none, which keeps them out of every task's memory.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -173,10 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2500) -> Scorer:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["g", "ordinary", "toxic"])
 
     grammed = rows.where("not late").select("y", "text").mapInArrow(count, "g string, ordinary long, toxic long")
-    grammed = grammed.groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    grammed = common.cut(grammed.groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "tox-grams")
     found = grammed.toArrow().to_pydict()
-    ratio, rest = fit(dict(zip(found["g"], zip(found["ordinary"], found["toxic"]))))
-    near = 0.02  # ratios this close to none are left out
+    ratio, rest = fit(dict(zip(found["g"], zip(found["ordinary"], found["toxic"]))), _corpus_counts(docs, grammed))
+    common.drop(grammed)
     scorer = Scorer({g: r for g, r in ratio.items() if abs(r) > near or abs(rest.get(g[:-1], 0)) > near}, {h: r for h, r in rest.items() if abs(r) > near})
     shared = spark.sparkContext.broadcast(scorer)
 

@@ -71,13 +71,52 @@ def test_ratio_is_none_where_neither_class_knows_better():
     assert ratio["^nitwi"[-6:]] > 0 > ratio["^nitra"[-6:]]
 
 
-def test_probabilities_sum_to_one():
-    """Interpolated Kneser-Ney over the characters seen after a context, with what is left to unseen ones."""
+def slow_probability(counts, types, c, h, x, discount=0.75):
+    """P_c(x | h) by the definition: interpolated absolute discounting over shared Kneser-Ney continuation probabilities."""
+
+    def low(h, x):
+        k = len(h) + 1
+        tails = {g[-k - 1 :] for g in types}
+        n = {y: sum(t[1:] == h + y for t in tails) for y in {t[-1] for t in tails if t[1:-1] == h}}
+        letters = len({t[-1] for t in types})
+        shorter = low(h[1:], x) if h else 1 / letters
+        whole = sum(n.values())
+        return max(n.get(x, 0) - discount, 0) / whole + discount * len(n) / whole * shorter if whole else shorter
+
+    own = {g[-1]: n[c] for g, n in counts.items() if g[:-1] == h and n[c]}
+    if not own:
+        return low(h[1:], x)
+    return max(own.get(x, 0) - discount, 0) / sum(own.values()) + discount * len(own) / sum(own.values()) * low(h[1:], x)
+
+
+def test_probabilities_sum_to_one_and_ratios_follow_the_definition():
+    """Interpolated Kneser-Ney with the corpus's continuation counts: of all letters, the probabilities of a class are one."""
     import math
 
-    counts = {g: (n, 2 * n) for n, w in enumerate(("anna", "annual", "banner"), 1) for g in toxicity.grams(w)}
-    ratio, rest = toxicity.fit(counts)
-    assert all(math.isfinite(v) for v in (*ratio.values(), *rest.values()))
+    counts = {}
+    for n, w in enumerate(("anna", "annual", "banner", "nanna"), 1):
+        for g in toxicity.grams(w):
+            a, b = counts.get(g, (0, 0))
+            counts[g] = (a + n, b + (n % 2) * 3)
+    types = set(counts) | {g for w in ("bandana", "annex", "manual") for g in toxicity.grams(w)}
+    ratio, rest = toxicity.fit(counts, toxicity.continuations(types))
+    letters = {g[-1] for g in types}
+    for h in {g[:-1] for g in counts}:
+        p = [{x: slow_probability(counts, types, c, h, x) for x in letters} for c in (0, 1)]
+        assert all(abs(sum(q.values()) - 1) < 1e-9 for q in p)
+        for x in letters:
+            mine = ratio[h + x] if h + x in ratio else rest.get(h, 0.0)
+            assert abs(mine - math.log(p[1][x] / p[0][x])) < 1e-9
+
+
+def test_shared_counts_come_from_all_documents(spark):
+    rows = data.corpus(80) + data.awkward()
+    sample = sorted({g for t in ("stonely river", "harbours") for w in t.split() for g in toxicity.grams(w)})
+    types = {g for r in rows for w in toxicity.WORDS.findall((r[1] or "").lower()) for g in toxicity.grams(w)}
+    contexts = {g[-k:-1] for g in sample for k in range(1, toxicity.ORDER)}
+    expected = {s: n for s, n in toxicity.continuations(types).items() if s[:-1] in contexts}
+    for room in (500_000, 3):
+        assert toxicity._corpus_counts(data.frame(spark, rows), spark.createDataFrame([(g,) for g in sample], "g string"), room=room) == expected
 
 
 def test_query_and_stage(spark):
