@@ -39,21 +39,42 @@ def _drawn(docs: DataFrame, seed: int, weight: Column | None) -> DataFrame:
     }).withColumn("_key", -F.log(u) / F.col("_w"))
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with _rank, the place of its source by code point, null last, from 0; no task sees all sources.
+
+    Sources are dealt by range and sorted there; a source's place is that in its range, after the counts of those before.
+    """
+    order = F.col("source").asc_nulls_last()
+    dealt = sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id())
+    dealt = common.cut(dealt, "mix-sources")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    ranked = ranked.join(counts, F.col("_range") == F.col("_r"))
+    return ranked.withColumn("_rank", F.col("_before") + F.col("_nth") - 1).drop("_range", "_r", "_before", "_nth")
+
+
 def targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     """(_source, source, source_size) → with target: sources by code point, null last, weigh 1, 2, 3 in turn and share all
     words; no target exceeds ``max_epochs`` times its source, and what is above goes to the others by weight.
 
-    This is water-filling: with sources in the order of cap/weight, the level is the largest of the levels that result
-    from capping a prefix.  One row a source.
+    This is water-filling: the level (words for a weight of one) rises, as sources whose cap is under it are capped and leave
+    the others more, until it stands still.  Each step is one sum over the sources.  One row a source.
     """
-    everyone = Window.partitionBy()
-    by_name = everyone.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("_weight", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("_cap", F.lit(max_epochs) * F.col("source_size"))
-    fill = everyone.orderBy(F.col("_cap") / F.col("_weight"), F.col("source").asc_nulls_last())
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everyone) - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / F.sum("_weight").over(after)
-    s = s.withColumn("_level", level).withColumn("_level", F.max("_level").over(everyone))
-    return s.withColumn("target", F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_weight"))).drop("_weight", "_cap", "_level")
+    s = _ranked(sizes).withColumns({"_weight": F.col("_rank") % 3 + 1, "_cap": F.lit(max_epochs) * F.col("source_size")}).drop("_rank")
+    s = common.cut(s, "mix-weights")
+    level = 0.0
+    while True:
+        under = F.col("_cap") <= F.lit(level) * F.col("_weight")
+        sums = s.agg(F.sum("source_size").alias("all"), F.sum(F.when(under, F.col("_cap"))).alias("capped"), F.sum(F.when(~under, F.col("_weight"))).alias("open")).first()
+        if not sums["open"]:
+            break
+        higher = ((sums["all"] or 0) - (sums["capped"] or 0)) / sums["open"]
+        if higher <= level:
+            break
+        level = higher
+    return s.withColumn("target", F.least(F.col("_cap").cast("double"), F.lit(float(level)) * F.col("_weight"))).drop("_weight", "_cap")
 
 
 def _border(sums: DataFrame, order: list[str]) -> DataFrame:
@@ -65,9 +86,11 @@ def _border(sums: DataFrame, order: list[str]) -> DataFrame:
     return s.withColumn("_left", F.col("_left") - (F.col("_sum") - F.col("words"))).drop("_sum", "_nth")
 
 
-def plan(drawn: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """One row a source: source_size, target, _epochs, and the border: _bkey, _bh, _bwords (words of the border document)."""
-    digest = common.cut(drawn.select("_source", "source", "_size", "_w", "_key", "_h"), "mix-keys")
+def plan(digest: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """One row a source: source_size, target, _epochs, and the border: _bkey, _bh, _bwords (words of the border document).
+
+    ``digest`` is a stored table of :func:`_drawn` without the texts.
+    """
     sizes = digest.groupBy("_source").agg(F.min("source").alias("source"), F.sum("_size").alias("source_size"), F.avg("_w").alias("_rate"))
     per = targets(sizes, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(F.lit(0)).cast("long")
@@ -90,6 +113,19 @@ def plan(drawn: DataFrame, max_epochs: int = 3) -> DataFrame:
     return common.cut(per.select("_source", "source_size", "target", "_epochs").join(border, "_source", "left"), "mix-plan")
 
 
+_DIGEST = ["_source", "source", "_size", "_w", "_key", "_h"]
+
+
+def _taken(drawn: DataFrame, p: DataFrame) -> DataFrame:
+    """Rows of :func:`_drawn` with what the plan takes of them."""
+    before = (F.col("_key") < F.col("_bkey")) | ((F.col("_key") == F.col("_bkey")) & (F.col("_h") < F.col("_bh")))
+    at = (F.col("_key") == F.col("_bkey")) & (F.col("_h") == F.col("_bh"))
+    part = F.when(before, F.col("_size")).when(at, F.least("_size", "_bwords")).otherwise(F.lit(0))
+    taken = F.col("_epochs") * F.col("_size") + part
+    out = drawn.drop("size", "source_size", "target", "taken").join(p, "_source")
+    return out.withColumns({"size": F.col("_size"), "taken": taken.cast("long")}).drop("_source", "_size", "_w", "_h", "_key", "_epochs", "_bkey", "_bh", "_bwords")
+
+
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words that the mix takes of the row, repeats counted).
 
@@ -98,13 +134,13 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 20, weight: Column | N
     named size, source_size, target or taken are replaced.  Keys depend on the row and ``seed`` alone, so reruns agree.
     """
     drawn = _drawn(docs, seed, weight)
-    p = plan(drawn, max_epochs)
-    before = (F.col("_key") < F.col("_bkey")) | ((F.col("_key") == F.col("_bkey")) & (F.col("_h") < F.col("_bh")))
-    at = (F.col("_key") == F.col("_bkey")) & (F.col("_h") == F.col("_bh"))
-    part = F.when(before, F.col("_size")).when(at, F.least("_size", "_bwords")).otherwise(F.lit(0))
-    taken = F.col("_epochs") * F.col("_size") + part
-    out = drawn.drop("size", "source_size", "target", "taken").join(p, "_source")
-    return out.withColumns({"size": F.col("_size"), "taken": taken.cast("long")}).drop("_source", "_size", "_w", "_h", "_key", "_epochs", "_bkey", "_bh", "_bwords")
+    return _taken(drawn, plan(common.cut(drawn.select(_DIGEST), "mix-keys"), max_epochs))
+
+
+def shares(docs: DataFrame, max_epochs: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target and taken, one row per row of ``docs``, as :func:`mix` has them; reads texts once."""
+    digest = common.cut(_drawn(docs, seed, weight).select("doc_id", *_DIGEST), "mix-keys")
+    return _taken(digest, plan(digest, max_epochs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
@@ -126,7 +162,7 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 20, weight
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(common.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return shares(common.read(spark, sf_dir, "documents"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

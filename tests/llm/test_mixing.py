@@ -95,3 +95,30 @@ def test_empty(spark):
 def test_query(spark):
     out = mixing.op8_mix_sources(spark, f"{DATA}/sf0.001")
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and out.count() == 200
+
+
+def test_shares_are_those_of_the_mix(spark):
+    df = data.frame(spark, data.corpus(120) + data.awkward(), True)
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(str, mixing.shares(df).collect())) == sorted(map(str, mixing.mix(df).select(names).collect()))
+
+
+def test_many_sources(spark):
+    """As many sources as hosts: ranks and levels come out without a task that sees them all."""
+    rows = [(i, "w " * (1 + i * i % 97), "en", f"h{i % 400}", 0) for i in range(900)]
+    out = mixing.mix(data.frame(spark, rows)).collect()
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r["source"]] += r["size"]
+    expected = slow_targets(sizes)
+    assert all(abs(r["target"] - expected[r["source"]]) < 1e-6 for r in out)
+
+
+def test_sizes_and_targets_match_sql(spark):
+    import duckdb
+
+    out = mixing.op8_mix_sources(spark, f"{DATA}/sf0.01").select("doc_id", "size", "source_size").toPandas()
+    sql = f"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM '{DATA}/sf0.01/documents.parquet')
+      SELECT doc_id, size, sum(size) OVER (PARTITION BY source) AS source_size FROM s"""
+    expected = duckdb.sql(sql).df()
+    assert sorted(map(tuple, out.astype(int).to_numpy().tolist())) == sorted(map(tuple, expected.astype(int).to_numpy().tolist()))
