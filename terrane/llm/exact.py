@@ -1,11 +1,12 @@
 """Exact duplicates by Patricia tries.
 
 Texts are equal when they agree after every run of white space is replaced by one space.  Each input partition inserts its
-texts' full bytes into a compressed radix trie under (length, content hash); a terminal node holds the smallest identifier
-and the number of rows, so a text copied a million times leaves a partition as one row.  When a trie holds more bytes than
-its budget, its largest subtrees are spilled into the shuffle as rows of their terminals, to be merged like any others.  The
-shuffle deals by length and content hash; there the rows arrive sorted, so that every finished subtree is flushed at once and
-a task holds one (length, hash) subtree at a time.
+texts' full bytes into a compressed radix trie; a terminal node holds the smallest identifier and the number of rows, so a text
+copied a million times leaves a partition as one row.  When a trie holds more bytes than its budget, its largest subtrees are
+spilled into the shuffle as rows of their terminals, to be merged like any others.  The shuffle deals by length and content
+hash.  There rows arrive in that order, and texts of one length and the same beginning of their hashes share a trie,
+in which their full bytes decide what is equal; as the copies of a text arrive together, the subtrees of a trie that has
+grown over its budget are finished and leave it.
 """
 
 from __future__ import annotations
@@ -91,7 +92,11 @@ class Trie:
         return sum(self.size.values())
 
     def spill(self, budget: int):
-        """Take the largest subtrees off until what stays is within the budget: yields (key, owner) of their terminals."""
+        """Take the largest subtrees off until what stays is within the budget (below 0: all): yields (key, owner) of
+        their terminals."""
+        if budget < 0 and self.root.terminal is not None:
+            yield b"", self.root.terminal
+            self.root.terminal = None
         for first in sorted(self.size, key=self.size.get, reverse=True):
             if self.held() <= budget:
                 return
@@ -141,7 +146,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
     def parts(key, owner):
-        return key[:32], int.from_bytes(key[32:40], "big"), owner
+        return hashlib.sha256(key).digest(), len(key), owner
 
     def combine(batches):
         trie = Trie()
@@ -150,9 +155,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
             for b in batches:
                 extra = b.column(2).to_pylist() if others else None
                 for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                    text = normal(t)
-                    key = hashlib.sha256(text).digest() + len(text).to_bytes(8, "big") + text
-                    trie.insert(key, [i, 1, t, extra[k]] if others else [i, 1, t])
+                    trie.insert(normal(t), [i, 1, t, extra[k]] if others else [i, 1, t])
                 if trie.held() > budget:
                     yield from (parts(*x) for x in trie.spill(budget // 2))
             yield from (parts(*x) for x in trie.spill(-1))
@@ -165,10 +168,13 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
             for b in batches:
                 cols = [c.to_pylist() for c in b.columns]
                 for length, sha, i, n, t, *extra in zip(*cols):
-                    if (length, sha) != now:
-                        yield from (parts(*x) for x in trie.spill(-1))
-                        now, trie = (length, sha), Trie()
-                    trie.insert(sha + length.to_bytes(8, "big") + normal(t), [i, n, t, *extra])
+                    if now != (length, sha):  # all copies of what the trie holds have come
+                        if now is None or now[0] != length or now[1][:1] != sha[:1]:
+                            yield from (parts(*x) for x in trie.spill(-1))
+                        elif trie.held() > budget:
+                            yield from (parts(*x) for x in trie.spill(budget // 2))
+                        now = (length, sha)
+                    trie.insert(normal(t), [i, n, t, *extra])
             yield from (parts(*x) for x in trie.spill(-1))
 
         if with_rows:
@@ -188,10 +194,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     then).  Rows that repeat the kept doc_id are all marked kept; :func:`distinct_documents` leaves one of them.  Other
     columns are not read, whatever their names.  An empty table gives an empty one.
     """
-    copied = owners(docs, id_col, text_col).where("n > 1").select(F.lower(F.hex("sha")).alias("_sha"), F.col("id").alias("_id"), "n")
+    copied = owners(docs, id_col, text_col).where("n > 1").select(F.col("len").alias("_len"), F.lower(F.hex("sha")).alias("_sha"), F.col("id").alias("_id"), "n")
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), common.SPACE, " ")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
-    out = rows.join(copied, F.col("text_sha256") == F.col("_sha"), "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
+    rows = rows.select("doc_id", F.sha2("_text", 256).alias("text_sha256"), F.octet_length("_text").cast("long").alias("_size"))
+    out = rows.join(copied, (F.col("text_sha256") == F.col("_sha")) & (F.col("_size") == F.col("_len")), "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
