@@ -27,12 +27,24 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A filter of up to so many 64-bit words is a literal of the plan; a larger one is the result of a subquery, up to MOST words.
+LITERAL, MOST = 4096, 1 << 24
+
+
 class Level:
-    """One Bloom filter: its bits are a folded literal of 64-bit words."""
+    """One Bloom filter: an array of 64-bit words that every task holds, of a size that is checked."""
 
-    def __init__(self, salt: int, bits: int, hashes: int, words: dict[int, int]):
+    def __init__(self, salt: int, bits: int, hashes: int, words: DataFrame):
         self.salt, self.bits, self.hashes = salt, bits, hashes
-        self.words = F.split(F.lit(",".join(str(words.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>")
+        n = bits // 64
+        if n <= LITERAL:
+            found = {r["word"]: r["bits"] for r in words.collect()}
+            self.words = F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(n))), ",").cast("array<bigint>")
+        else:
+            every = words.sparkSession.range(n).join(words, F.col("id") == F.col("word"), "left")
+            every = common.cut(every.select("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")), "bloom-words")
+            rows = every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("w"))
+            self.words = rows.select(F.transform("w", lambda s: s["bits"])).scalar()
 
     @staticmethod
     def places(key: Column, salt: int, bits: int, hashes: int) -> list[Column]:
@@ -40,13 +52,15 @@ class Level:
 
     @classmethod
     def build(cls, keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-        """From ``n`` distinct keys; what comes to the driver is the filter itself, which ``n`` bounds."""
+        """From ``n`` distinct keys, which bound the filter's size: one of over MOST words is refused."""
         bits = 64 * max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
+        if bits > 64 * MOST:
+            raise ValueError(f"{n} listed keys need a filter of {bits // 8} bytes; tasks hold at most {8 * MOST}")
         hashes = max(1, round(-math.log2(rate)))
         place = keys.select(F.explode(F.array(*cls.places(F.col("key"), salt, bits, hashes))).alias("at"))
         one = F.expr("shiftleft(1L, cast(at % 64 as int))")
         words = place.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(one).alias("bits"))
-        return cls(salt, bits, hashes, {r["word"]: r["bits"] for r in words.collect()})
+        return cls(salt, bits, hashes, words)
 
     def passes(self, key: Column) -> Column:
         def bit(at):
@@ -94,34 +108,41 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, parts, 1), _UPPER, _LOWER), F.regexp_extract(url, parts, 2)
 
 
-def _listed(spark: SparkSession, keys: list[str]) -> DataFrame:
-    values = F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")
-    return spark.range(1).select(F.explode(values).alias("key"))
+def _table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    one = [F.struct(*(F.lit(x).alias(n) for n, x in zip(("verdict", "host", "path"), r))) for r in rules]
+    empty = F.array().cast("array<struct<verdict:string,host:string,path:string>>")
+    return spark.range(1).select(F.inline(F.array(*one) if one else empty))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule (null where none fits) and verdict.
 
-    The longest rule that fits wins.  A null url, or one without ://, has an empty host and path and the default verdict; so has
-    an empty path where a rule asks for /.  Repeated rows come out repeated; other columns are not read; an empty table
-    gives an empty one.
+    ``rules``: (verdict, host, path) as a list or a table; rows with a null in it are left out, and of rules with one host and
+    path block wins.  Only their shapes (numbers of labels and lengths of paths) come to the driver.  The longest rule that
+    fits wins.  A null url, or one without ://, has an empty host and path and the default verdict; so has an empty path
+    where a rule asks for /.  Repeated rows come out repeated; other columns are not read; an empty table gives an empty one.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
+    if isinstance(rules, DataFrame):
+        table = rules.where("verdict is not null and host is not null and path is not null")
+        shapes = table.select(F.size(F.split("host", "[.]")).alias("labels"), F.length("path").alias("length")).distinct()
+        shapes = sorted((r["labels"], r["length"]) for r in shapes.collect())
+    else:
+        table, shapes = _table(spark, rules), sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
 
     def key(labels: int, length: int) -> Column:
         own = F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, length))
         return F.when(F.length("path") >= length, own)
 
     keys = [key(*s) for s in shapes]
-    universe = rows.select("host", "path").distinct().select(F.explode(F.array(*keys) if keys else F.array().cast("array<string>")).alias("key"))
-    names = [h + p for _, h, p in rules]
-    listed = Cascade.build(_listed(spark, names), universe)
-    blocks = Cascade.build(_listed(spark, [h + p for v, h, p in rules if v == "block"]), _listed(spark, names))
     if not keys:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    universe = rows.select("host", "path").distinct().select(F.explode(F.array(*keys)).alias("key"))
+    name = F.concat("host", "path").alias("key")
+    listed = Cascade.build(table.select(name), universe)
+    blocks = Cascade.build(table.where("verdict = 'block'").select(name), table.select(name))
     fits = [F.when(listed.holds(k), F.struct(F.length(k).alias("n"), k.alias("rule"))) for k in keys]
     rows = rows.withColumn("rule", F.array_max(F.array(*fits))["rule"])
     verdict = F.when(F.col("rule").isNull(), default).when(blocks.holds(F.col("rule")), "block").otherwise("allow")

@@ -53,3 +53,19 @@ def test_plan_is_native_and_joins_nothing(spark):
 
 def test_matches_sql(spark):
     same(spark, f"{DATA}/sf0.01", urls.op7_url_filter, urls.OP7_SQL)
+
+
+def test_a_table_of_rules_beyond_literals(spark, monkeypatch):
+    """Rules as a table, with nulls and repeats, and filters that are subqueries; the answer is the list's."""
+    rng = random.Random(3)
+    rules = list({(f"{'.'.join(rng.choice('abcn') for _ in range(rng.randint(1, 3)))}.b", rng.choice(("", "/", "/p", "/p/q"))): rng.choice(("block", "allow")) for _ in range(200)}.items())
+    rules = [(v, h, p) for (h, p), v in rules]
+    pool = [f"http://{'.'.join(rng.choice('abcn') for _ in range(rng.randint(1, 5)))}.b/{rng.choice(('', 'p', 'p/q', 'p/q/', 'x'))}" for _ in range(300)] + ODD
+    rows = [(i, u, "h", None, None, None) for i, u in enumerate(pool)]
+    table = spark.createDataFrame([*rules, *rules[:20], (None, "b", "/"), ("block", None, "/"), ("block", "b", None)], "verdict string, host string, path string")
+    monkeypatch.setattr(urls, "LITERAL", 2)
+    got = {r["page_id"]: tuple(r)[1:] for r in urls.filter_urls(spark.createDataFrame(rows, SCHEMA), table).collect()}
+    assert got == {i: slow(u, rules) for i, u in enumerate(pool)}
+    monkeypatch.setattr(urls, "MOST", 1)
+    with pytest.raises(ValueError):
+        urls.filter_urls(spark.createDataFrame(rows, SCHEMA), table)
