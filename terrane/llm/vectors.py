@@ -186,7 +186,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 6,
     trees is some 100 bytes for every ``part`` vectors.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, 4096)
+    common.small_batches(spark)
     v = F.col(vec_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     usable = _valid(F.col("v")) & F.col("label").isNotNull() & F.col("id").isNotNull()
@@ -202,7 +202,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = 6,
     forests: dict[tuple[str, int], dict[int, dict]] = {}
 
     def routed(batches):
-        for b in batches:
+        for b in common.gathered(batches):
             for (label, dim), own in pd.DataFrame({"label": b.column(0).to_pylist(), "dim": b.column(1).to_pylist()}).groupby(["label", "dim"]).indices.items():
                 picked = b.take(pa.array(own))
                 x = units(_matrix(picked.column(4)))
