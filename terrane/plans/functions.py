@@ -194,8 +194,8 @@ _AGGREGATES_SQL = _PART_SQL + """SELECT (k % 7)::BIGINT AS g, (max(x + w) - min(
 
 def fn_knn(spark, sf_dir):
     """The three zones nearest to each trip's start, by distance and then by index (the zone's key)."""
-    z = zone(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(F.struct("z_zonekey", "z_boundary"))), lambda s: s["z_boundary"]).alias("zones"))
-    near = trip(spark, sf_dir).crossJoin(F.broadcast(z)).select("t_tripkey", F.posexplode(S.st_knn(c("t_pickuploc"), c("zones"), 3)).alias("pos", "n"))
+    zones = zone(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(F.struct("z_zonekey", "z_boundary"))), lambda s: s["z_boundary"]).alias("zones")).scalar()
+    near = trip(spark, sf_dir).select("t_tripkey", F.posexplode(S.st_knn(c("t_pickuploc"), zones, 3)).alias("pos", "n"))
     return near.select("t_tripkey", "pos", c("n.idx").alias("idx"), F.round("n.distance", 9).alias("distance"))
 
 

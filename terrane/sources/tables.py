@@ -31,3 +31,11 @@ def write_json_lines(df: DataFrame, path: str, geometry: list[str] | None = None
     from terrane.functions import spatial as S
 
     df.withColumns({g: S.st_asewkt(F.col(g)) for g in geometry or []}).write.mode(mode).json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str, geometry: list[str] | None = None) -> DataFrame:
+    """A JSON object a line, of a given schema (nothing is inferred); geometry columns are EWKT strings there."""
+    from terrane.functions import spatial as S
+
+    df = spark.read.schema(schema).json(path)
+    return df.withColumns({g: S.st_geomfromtext(F.col(g)) for g in geometry or []})

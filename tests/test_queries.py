@@ -1,12 +1,12 @@
 import pytest
 
 import __spark_entry__ as entry
-from terrane.plans import functions, relational, sql, trips
+from terrane.plans import functions, relational, sql, tables, trips
 from tests.conftest import DATA
 from tests.oracle import same
 
 
-PLANS = (trips, sql, functions, relational)
+PLANS = (trips, sql, functions, relational, tables)
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in PLANS for k, v in p.SQL.items()}
 
