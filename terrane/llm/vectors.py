@@ -3,11 +3,11 @@
 Vectors are compared within their label, so every label has trees of its own.  A tree splits its vectors again and again at
 the median of a random projection; vectors near a split go to both sides (spill), as near as twice what linked vectors
 differ there typically, so that few linked pairs are parted, and a dense group, which would go to both sides whole, is not
-split but compared whole.  Labels of more than ``part`` vectors are first split into cells that the shuffle deals over tasks, each
+split but compared whole.  Where the trees of a cell would compare no fewer pairs than it has, it is one leaf.  Labels of more than ``part`` vectors are first split into cells that the shuffle deals over tasks, each
 vector travelling to the few cells that it spills into; splits of cells are fitted on bounded samples, again within those that
 are still large.  Inside a task many trees are grown over the cell's own vectors; within their leaves all pairs are compared in
 double precision, block by block, and what comes out is not pairs but, for each vector, how many partners it has there
-and the smallest vector it hangs together with.  A pair is counted once: in the first cell and the first leaf that it shares.
+and the smallest vector it hangs together with.  A pair is counted once, in the first cell that it shares.
 
 Equal vectors are one class from the start.  A cell that cannot be split below ``part`` classes is dealt in pairs of parts.
 """
@@ -108,17 +108,6 @@ def _valid(v) -> F.Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _lists(rows: list[np.ndarray], n: int) -> np.ndarray:
-    """Which of the groups of rows hold each of n rows: their numbers, ascending, filled up with -1."""
-    row, which = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    order = np.lexsort((which, row))
-    row, which = row[order], which[order]
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    out = np.full((n, int(nth.max(initial=0)) + 1), -1, np.int64)
-    out[row, nth] = which
-    return out
-
-
 def _first(lists: np.ndarray, p: np.ndarray, q: np.ndarray, this: int) -> np.ndarray:
     """Whether ``this`` is the smallest number that rows p and q both have."""
     if lists.shape[1] == 1:
@@ -129,46 +118,44 @@ def _first(lists: np.ndarray, p: np.ndarray, q: np.ndarray, this: int) -> np.nda
 
 
 def compare(x: np.ndarray, many: np.ndarray, own: np.ndarray, mixed: bool, codes: np.ndarray, code: int, threshold: float, leaf: int, trees: int, margin: float, seed: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(partners counted here, index of the smallest row that each hangs together with) of the unit vectors of one cell.
+    """(partners counted here, index of the smallest row that each hangs together with) of the unit vectors of one cell,
+    which is at most two parts, so that a bit for each pair is held.
 
     ``codes`` has the cells of each row, ``code`` this one; in a ``mixed`` cell, of two parts, only rows that differ in
     ``own`` meet.
     """
     n = len(x)
-    groups: list[np.ndarray] = []
-    for t in range(trees):
-        leaves = grow(x, n, leaf, margin, (seed, t + 1))[1]
-        groups += [r for _, r in leaves]
-        if len(leaves) == 1:
-            groups = groups[-1:]  # one leaf holds every pair
-            break
-    lists = _lists(groups, n)
-    partners, sets = np.zeros(n, np.int64), common.Sets(n)
-    root = sets.labels()
-    for g, rows in enumerate(groups):
+    groups = [r for t in range(trees) for _, r in grow(x, n, leaf, margin, (seed, t + 1))[1]]
+    if sum(len(r) ** 2 for r in groups) >= n * n:  # trees that save nothing: the cell is one leaf
+        groups = [np.arange(n)]
+    linked = np.zeros((n, n), bool)
+    for rows in groups:
         rows = np.sort(rows)
         for a in range(0, len(rows), block):
             one = rows[a : a + block]
             for b in range(a, len(rows), block):
                 two = rows[b : b + block]
                 i, j = np.nonzero(x[one] @ x[two].T >= threshold)
-                i, j = one[i], two[j]
-                keep = i < j
-                if mixed:
-                    keep &= own[i] != own[j]
-                i, j = i[keep], j[keep]
-                if not len(i):
-                    continue
-                for k in range(0, len(i), 20_000):
-                    p, q = i[k : k + 20_000], j[k : k + 20_000]
-                    once = _first(lists, p, q, g) & _first(codes, p, q, code)
-                    np.add.at(partners, p[once], many[q[once]])
-                    np.add.at(partners, q[once], many[p[once]])
-                apart = root[i] != root[j]
-                if apart.any():
-                    pair = np.unique(np.stack([root[i[apart]], root[j[apart]]]), axis=1)
-                    sets.join(pair[0], pair[1])
-                    root = sets.labels()
+                linked[one[i], two[j]] = True
+    partners, sets = np.zeros(n, np.int64), common.Sets(n)
+    root = sets.labels()
+    for a in range(0, n, block):
+        i, j = np.nonzero(linked[a : a + block])
+        i += a
+        keep = i < j
+        if mixed:
+            keep &= own[i] != own[j]
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), 100_000):
+            p, q = i[k : k + 100_000], j[k : k + 100_000]
+            once = _first(codes, p, q, code)
+            np.add.at(partners, p[once], many[q[once]])
+            np.add.at(partners, q[once], many[p[once]])
+            apart = root[p] != root[q]
+            if apart.any():
+                pair = np.unique(np.stack([root[p[apart]], root[q[apart]]]), axis=1)
+                sets.join(pair[0], pair[1])
+                root = sets.labels()
     return partners, root
 
 
