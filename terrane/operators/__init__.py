@@ -1,5 +1,5 @@
 """Spatial joins and nearest neighbours."""
 
-from terrane.operators.join import knn_join, spatial_join
+from terrane.operators.join import deal, knn_join, spatial_join
 
-__all__ = ["knn_join", "spatial_join"]
+__all__ = ["deal", "knn_join", "spatial_join"]

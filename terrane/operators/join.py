@@ -78,6 +78,13 @@ def _outer(left, right, left_geometry, right_geometry, predicate, how, distance,
     return left.join(matched, on, "left").drop(*keys)
 
 
+def deal(df: DataFrame, column: str) -> DataFrame:
+    """A small table (by the optimizer's estimate), which may lie in one row group, dealt over all cores; a large one as it is."""
+    if df.isStreaming or bridge(df.sparkSession).estimate(df) > DEALT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, column)
+
+
 def knn_join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, left_key: str, right_key: str, k: int, depth: int = 12, small: bool | None = None) -> DataFrame:
     """The k rows of ``right`` nearest to each row of ``left``: left_key, right_key, distance, rank (from 1).
 
@@ -98,8 +105,7 @@ def _indexed(left, right, left_geometry, right_geometry, left_key, right_key, k)
     rows = right.where(g.isNotNull() & S.bounds(g).isNotNull()).select(F.struct(F.col(right_key).alias("k"), g.alias("g")).alias("r"))
     rows = rows.agg(F.array_sort(F.collect_list("r")).alias("r"))
     found = S.kernel("nearest", F.col(left_geometry), rows.scalar(), 1, k)
-    if not left.isStreaming and bridge().estimate(left) <= DEALT:
-        left = left.select(left_key, left_geometry).repartition(left.sparkSession.sparkContext.defaultParallelism, left_geometry)
+    left = deal(left.select(left_key, left_geometry), left_geometry)
     near = left.select(F.col(left_key), F.posexplode(found).alias("_at", "_n"))
     keys = rows.select(F.transform("r", lambda r: r["k"])).scalar()
     return near.select(left_key, F.element_at(keys, (F.col("_n")["idx"] + 1).cast("int")).alias(right_key), F.col("_n")["distance"].alias("distance"), (F.col("_at") + 1).alias("rank"))
