@@ -147,7 +147,7 @@ def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _corpus_counts(docs: DataFrame, sample: DataFrame, order: int = ORDER, room: int = 500_000) -> dict[str, int]:
+def _corpus_counts(docs: DataFrame, sample: DataFrame, order: int = ORDER, room: int = 100_000) -> dict[str, int]:
     """:func:`continuations` of all texts of ``docs``, of what follows the contexts of the n-grams in column g of ``sample``.
 
     Tasks forget the n-grams that they have told of when there are more than ``room``; Spark tells them apart in the end.
